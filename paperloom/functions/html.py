@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from paperloom.functions.text import BLANKS, filled, squeeze, strip
+from paperloom.functions.text import BLANKS, filled, let, squeeze, strip
 
 # Tags whose content is dropped, tags that break lines, entities.
 DROPPED_TAGS = ("head", "script", "style", "nav", "noscript", "template")
@@ -62,7 +62,7 @@ def _numbered_entities(col: Column) -> Column:
     def decode(piece: Column, i: Column) -> Column:
         code = F.rtrim(F.regexp_extract(piece, NUMBERED_ENTITY, 0), F.lit(";"))
         digits = F.regexp_replace(code, "^[xX]", "")
-        hexed = F.when(code.rlike("^[xX]"), digits).otherwise(F.hex(F.try_to_number(digits, F.lit("9999999"))))
+        hexed = F.when(code.rlike("^[xX]"), digits).otherwise(F.hex(digits.try_cast("bigint")))
         value = F.conv(hexed, 16, 10).cast("bigint")
         fits = (value > 0) & (value <= 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
@@ -194,8 +194,11 @@ def figures(html: Column, page_url: Column) -> Column:
     nodes = F.when(F.size(typeset) > 0, typeset).otherwise(every)
 
     def read(e: Column, i: Column) -> Column:
+        caption_of = F.get(elements(e["inner"], "figcaption"), 0)["inner"]
+        return let(caption_of, lambda caption_html: describe(e, i, caption_html))
+
+    def describe(e: Column, i: Column, caption_html: Column) -> Column:
         image = F.regexp_extract(e["inner"], r"(?is)<img\b([^>]*)>", 1)
-        caption_html = F.get(elements(e["inner"], "figcaption"), 0)["inner"]
         tag = F.regexp_extract(
             caption_html, r"(?is)<span\b[^>]*class\s*=\s*[\"'][^\"']*ltx_tag[^\"']*[\"'][^>]*>(.*?)</span>", 1
         )
@@ -214,14 +217,18 @@ def figures(html: Column, page_url: Column) -> Column:
         F.transform(paragraphs(html), lambda t: F.struct(t.alias("text"), cited_numbers(t).alias("nums"))),
         lambda p: F.size(p["nums"]) > 0,
     )
-    return F.transform(
-        found,
-        lambda f: F.struct(
-            f["order"].alias("order"),
-            f["label"].alias("label"),
-            f["caption"].alias("caption"),
-            resolve_url(f["src"], page_url).alias("url"),
-            reference_text(citing, F.regexp_extract(f["label"], r"(\d+)", 1)).alias("reference_text"),
+    # `citing` is bound once per page; inside the inner lambda it would run per figure
+    return let(
+        citing,
+        lambda cites: F.transform(
+            found,
+            lambda f: F.struct(
+                f["order"].alias("order"),
+                f["label"].alias("label"),
+                f["caption"].alias("caption"),
+                resolve_url(f["src"], page_url).alias("url"),
+                reference_text(cites, F.regexp_extract(f["label"], r"(\d+)", 1)).alias("reference_text"),
+            ),
         ),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Whitespace that counts for trimming, sentence ends, separators.
@@ -14,6 +16,15 @@ ELLIPSIS = "…"
 PARAGRAPH_BREAK = "<br/><br/>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and hand it to `body`.
+
+    A column captured by a lambda runs again for every array element; a lambda
+    variable does not.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of ASCII white space (Spark's ``trim`` only takes blanks)."""
     return F.btrim(col, F.lit(BLANKS))
