@@ -106,24 +106,26 @@ def assign_with_limit(candidates: DataFrame, conf: TriageConfig, limit: int, n_w
     return taken if taken is not None else scored.limit(0)
 
 
-def preview(candidates: DataFrame, windows: bool = True) -> DataFrame:
+def preview(candidates: DataFrame) -> DataFrame:
     """Dry run: new candidates per window and topic, each id once, with subtotals and a total."""
     order = [F.col("window_idx"), F.col("topic_idx")]
     once = first_per_key(candidates.select("arxiv_id", "window_idx", "topic_idx"), ["arxiv_id"], order)
     return once.rollup("window_idx", "topic_idx").agg(F.count("*").alias("n"))
 
 
-def run_stats(candidates: DataFrame, selected: DataFrame, n_topics: int) -> DataFrame:
-    """Topics processed, candidates fetched (before de-duplication) and papers selected."""
-    fetched = candidates.agg(F.count("*").alias("papers_fetched"))
-    chosen = selected.agg(F.count("*").alias("papers_selected"))
-    tagged = fetched.select("papers_fetched", F.lit(0).cast("bigint").alias("papers_selected")).unionByName(
-        chosen.select(F.lit(0).cast("bigint").alias("papers_fetched"), "papers_selected")
-    )
-    return tagged.agg(
+def run_stats(scored: DataFrame, n_topics: int, threshold: float, known: Column | None = None) -> DataFrame:
+    """Topics processed, candidates fetched (before de-duplication) and papers selected.
+
+    One pass over the scored candidates.  A paper counts as selected once, by the first
+    topic it passes; `known` marks ids an earlier run handled.
+    """
+    chosen = F.col("score") >= F.lit(float(threshold))
+    if known is not None:
+        chosen = chosen & ~known
+    return scored.agg(
         F.lit(n_topics).cast("bigint").alias("topics_processed"),
-        F.sum("papers_fetched").alias("papers_fetched"),
-        F.sum("papers_selected").alias("papers_selected"),
+        F.count("*").alias("papers_fetched"),
+        F.count_distinct(F.when(chosen, F.col("arxiv_id"))).alias("papers_selected"),
     )
 
 
