@@ -16,6 +16,7 @@ from paperloom.functions import replies as R
 from paperloom.functions.text import (
     brief_from_abstract,
     filled,
+    let,
     question_keywords,
     sentences,
     strip,
@@ -224,10 +225,14 @@ def offline_answer(question: Column, body_sentences: Column) -> Column:
         1,
         2,
     )
-    used = F.when(F.size(found) > 0, found).otherwise(F.slice(body_sentences, 1, 1))
-    text = F.coalesce(filled(strip(F.array_join(used, " "))), F.lit(NO_OFFLINE_ANSWER))
-    sure = R.clamp(F.size(used).cast("double") * 0.3 + 0.4, 0.0, 1.0)
-    return F.struct(text.alias("answer"), sure.alias("confidence"))
+    used = let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.slice(body_sentences, 1, 1)))
+
+    def answer(sents: Column) -> Column:
+        text = F.coalesce(filled(strip(F.array_join(sents, " "))), F.lit(NO_OFFLINE_ANSWER))
+        sure = R.clamp(F.size(sents).cast("double") * 0.3 + 0.4, 0.0, 1.0)
+        return F.struct(text.alias("answer"), sure.alias("confidence"))
+
+    return let(used, answer)
 
 
 def answers(records: DataFrame, replies: DataFrame | None = None) -> DataFrame:
@@ -260,13 +265,18 @@ def answers(records: DataFrame, replies: DataFrame | None = None) -> DataFrame:
 
     def finding(task: Column, i: Column) -> Column:
         own = F.get(F.col("_given"), i)
-        rule = offline_answer(task["question"], F.col("_sentences"))
-        usable = F.coalesce(own["usable"], F.lit(False))
-        return F.struct(
-            task["question"].alias("question"),
-            task["reason"].alias("reason"),
-            F.when(usable, own["answer"]).otherwise(rule["answer"]).alias("answer"),
-            F.when(usable, own["confidence"]).otherwise(rule["confidence"]).alias("confidence"),
+        taken = F.when(
+            F.coalesce(own["usable"], F.lit(False)),
+            F.struct(own["answer"].alias("answer"), own["confidence"].alias("confidence")),
+        ).otherwise(offline_answer(task["question"], F.col("_sentences")))
+        return let(
+            taken,
+            lambda a: F.struct(
+                task["question"].alias("question"),
+                task["reason"].alias("reason"),
+                a["answer"].alias("answer"),
+                a["confidence"].alias("confidence"),
+            ),
         )
 
     return rows.withColumn("findings", F.transform("tasks", finding)).drop(*slots, "_given", "_sentences")
