@@ -72,10 +72,13 @@ def merge_findings(findings: Column, translated: Column) -> Column:
     )
 
 
-def to_payload(records: DataFrame, model: str | None, generated_at: datetime, keep_body: bool = False) -> DataFrame:
+def to_payload(
+    records: DataFrame, model: str | None, generated_at: datetime, keep_body: bool = False, *also: str
+) -> DataFrame:
     """Stored record per paper: every text in two languages, scores, figures, findings.
 
-    `keep_body` stores the body as ``markdown``, as single-paper runs do.
+    `keep_body` stores the body as ``markdown``, as single-paper runs do; `also` names
+    columns to carry along.
     """
     tr = F.col("tr")
     staged = records.withColumn("_figs", merge_captions(F.col("figures"), tr["figure_captions"])).withColumn(
@@ -111,6 +114,7 @@ def to_payload(records: DataFrame, model: str | None, generated_at: datetime, ke
         (F.col("body") if keep_body else F.lit("")).alias("markdown"),
         F.lit(model).cast("string").alias("model"),
         F.date_format(F.lit(generated_at), STAMP_FORMAT).alias("generated_at"),
+        *also,
     )
 
 

@@ -34,69 +34,82 @@ def _last_life(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts:
     )
 
 
-def fold(
-    events: DataFrame,
-    keys: Sequence[str],
-    drop: Column,
-    replace: Column,
-    keep_first: Sequence[str],
-    keep_last: Sequence[str],
-    slice_width: str = SLICE,
+def slice_deltas(
+    events: DataFrame, keys: Sequence[str], drop: Column, replace: Column, keep_last: Sequence[str], width: str = SLICE
 ) -> DataFrame:
-    """Current rows by key from events ``(keys, ts, event_id, ...)``.
+    """One row per key and time slice: ``starts, puts, first_ts`` and the `keep_last` columns.
 
-    `drop` events delete the key.  `replace` events start it afresh.  Others upsert:
-    `keep_first` columns hold the value of the first upsert of the current life and
-    `keep_last` columns the last non-null one.  Events at one time apply by event_id.
+    ``starts`` says that the slice wipes what came before, ``puts`` counts the upserts
+    after that, ``first_ts`` is the first of them.
     """
     at = F.struct("ts", "event_id")
     marked = events.select(
         *keys,
         "ts",
         "event_id",
-        F.date_trunc(slice_width, F.col("ts")).alias("_slice"),
+        F.date_trunc(width, F.col("ts")).alias("slice"),
         drop.alias("_drop"),
         (drop | replace).alias("_starts"),
-        *dict.fromkeys([*keep_first, *keep_last]),
+        *keep_last,
     )
-    lives = _last_life(marked, [*keys, "_slice"], ["ts", "event_id"], F.col("_starts"))
+    lives = _last_life(marked, [*keys, "slice"], ["ts", "event_id"], F.col("_starts"))
     put = ~F.col("_drop")
-    per_slice = lives.groupBy(*keys, "_slice").agg(
-        F.max("_reset").alias("_starts"),
-        F.count_if(put).alias("_puts"),
-        *[F.min_by(F.when(put, F.struct(c)), F.when(put, at)).alias(f"_f_{c}") for c in keep_first],
-        *[
-            F.max_by(F.when(put, F.col(c)), F.when(put & F.col(c).isNotNull(), at)).alias(f"_l_{c}")
-            for c in keep_last
-        ],
+    return lives.groupBy(*keys, "slice").agg(
+        F.max("_reset").alias("starts"),
+        F.count_if(put).alias("puts"),
+        F.min(F.when(put, F.col("ts"))).alias("first_ts"),
+        *[F.max_by(c, F.when(put & F.col(c).isNotNull(), at)).alias(c) for c in keep_last],
     )
-    current = _last_life(per_slice.withColumnRenamed("_starts", "_s"), keys, ["_slice"], F.col("_s"))
-    whole = current.groupBy(*keys).agg(
-        F.sum("_puts").alias("_puts"),
-        *[
-            F.min_by(f"_f_{c}", F.when(F.col(f"_f_{c}").isNotNull(), F.col("_slice"))).alias(f"_f_{c}")
-            for c in keep_first
-        ],
-        *[
-            F.max_by(f"_l_{c}", F.when(F.col(f"_l_{c}").isNotNull(), F.col("_slice"))).alias(c)
-            for c in keep_last
-        ],
+
+
+def combine(deltas: DataFrame, keys: Sequence[str], by: str, keep_last: Sequence[str]) -> DataFrame:
+    """Fold the deltas of each key in the order of `by` to one delta."""
+    lives = _last_life(deltas, keys, [by], F.col("starts"))
+    return lives.groupBy(*keys).agg(
+        F.max("_reset").alias("starts"),
+        F.sum("puts").alias("puts"),
+        F.min("first_ts").alias("first_ts"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(by))).alias(c) for c in keep_last],
     )
-    firsts = [F.col(f"_f_{c}")[c].alias(f"first_{c}") for c in keep_first]
-    return whole.where(F.col("_puts") > 0).select(*keys, *firsts, *keep_last)
 
 
-def star_state(events: DataFrame) -> DataFrame:
-    """Stars from ``(event_id, ts, arxiv_id, op, topic, note)``.
+def present(deltas: DataFrame) -> DataFrame:
+    """Keys that exist after their last event."""
+    return deltas.where(F.col("puts") > 0).drop("starts", "puts")
 
-    ``star`` keeps the first time and any earlier topic and note, ``star_replace``
-    starts over without a note, ``unstar`` deletes.
+
+def fold(
+    events: DataFrame, keys: Sequence[str], drop: Column, replace: Column, keep_last: Sequence[str]
+) -> DataFrame:
+    """Current rows by key from events ``(keys, ts, event_id, ...)``.
+
+    `drop` events delete the key.  `replace` events start it afresh.  Others upsert:
+    ``first_ts`` is the time of the first upsert of the current life and the
+    `keep_last` columns hold their last non-null value.  Events at one time apply by
+    event_id.
     """
+    return present(combine(slice_deltas(events, keys, drop, replace, keep_last), keys, "slice", keep_last))
+
+
+STAR_FIELDS = ("topic", "note")
+
+
+def star_deltas(events: DataFrame) -> DataFrame:
+    """One delta per paper from star events ``(event_id, ts, arxiv_id, op, topic, note)``."""
     op = F.col("op")
     mine = events.where(op.isin("star", "star_replace", "unstar"))
     mine = mine.withColumn("note", F.when(op == "star", F.col("note")))
-    state = fold(mine, ["arxiv_id"], op == "unstar", op == "star_replace", ["ts"], ["topic", "note"])
-    return state.withColumnRenamed("first_ts", "starred_at")
+    slices = slice_deltas(mine, ["arxiv_id"], op == "unstar", op == "star_replace", STAR_FIELDS)
+    return combine(slices, ["arxiv_id"], "slice", STAR_FIELDS)
+
+
+def star_state(events: DataFrame) -> DataFrame:
+    """Current stars.
+
+    ``star`` keeps the first time and any earlier topic and note, ``star_replace``
+    starts over without a note, ``unstar`` deletes.
+    """
+    return present(star_deltas(events)).withColumnRenamed("first_ts", "starred_at")
 
 
 def hide_state(events: DataFrame) -> DataFrame:
@@ -144,8 +157,7 @@ def annotation_state(events: DataFrame) -> DataFrame:
     op = F.col("op")
     staged = valid_notes(events).withColumn("updated_at", F.col("ts"))
     state = fold(
-        staged, ["arxiv_id", "note_id"], op == "delete", F.lit(False), ["ts"],
-        ["stage", "quote", "note", "updated_at"],
+        staged, ["arxiv_id", "note_id"], op == "delete", F.lit(False), ["stage", "quote", "note", "updated_at"]
     )
     return state.withColumnRenamed("first_ts", "created_at")
 

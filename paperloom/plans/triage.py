@@ -135,13 +135,17 @@ def publish(
     records: DataFrame, path: str, conf: TriageConfig, model: str | None, run_ts: datetime, keep_body: bool = False
 ) -> DataFrame:
     """Store records and index, write the digest of this run, return the stored table."""
-    payload = A.to_payload(records, model, run_ts, keep_body)
-    stored = sinks.upsert_analyses(payload, f"{path}/analyses")
-    sinks.write_index(stored, f"{path}/index")
-    stamp = F.date_format(F.lit(run_ts), A.STAMP_FORMAT)
-    fresh = stored.where(F.col("generated_at") == stamp).withColumn(
-        "pos", F.xxhash64("arxiv_id").cast("bigint")
+    spark = records.sparkSession
+    run = f"{path}/runs/{run_ts:%Y%m%dT%H%M%S}"
+    # order of the run: window, topic, newest first; the id only has to grow with it
+    ordered = records.orderBy("window_idx", "topic_idx", F.col("published").desc(), "arxiv_id").withColumn(
+        "pos", F.monotonically_increasing_id()
     )
+    payload = A.to_payload(ordered, model, run_ts, keep_body, "pos")
+    payload.write.mode("overwrite").parquet(run)  # computed once, read by all three outputs
+    fresh = spark.read.parquet(run)
+    stored = sinks.upsert_analyses(fresh.drop("pos"), f"{path}/analyses")
+    sinks.write_index(stored, f"{path}/index")
     lines = digest.digest_lines(fresh, conf.language, run_ts, conf.site_base_url)
     sinks.write_digest(lines, f"{path}/digest/{run_ts:%Y%m%dT%H%M%S}")
     return stored

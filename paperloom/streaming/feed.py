@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -84,6 +83,3 @@ def run_until_done(query: StreamingQuery, timeout_s: int | None = None) -> None:
     if query.exception() is not None:
         raise query.exception()
 
-
-def at_time(run_ts: datetime) -> str:
-    return f"{run_ts:%Y%m%dT%H%M%S}"

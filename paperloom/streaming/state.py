@@ -10,14 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paperloom.operators.state import fold_batches, star_deltas
+from paperloom.operators.state import STAR_FIELDS, combine, present, star_deltas
 from paperloom.streaming.feed import BATCH, append_once
 
-DELTA_SCHEMA = (
-    "arxiv_id string, starts boolean, puts bigint, first_ts timestamp_ntz, topic string, note string"
-)
-
-
 def run_star_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append one delta per touched paper and micro-batch, then stop."""
 
@@ -34,9 +29,8 @@ def run_star_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQu
 
 def star_state(spark: SparkSession, out: str) -> DataFrame:
     """Current stars from all deltas."""
-    return fold_batches(spark.read.parquet(out), ["arxiv_id"], BATCH, ["topic", "note"]).withColumnRenamed(
-        "first_ts", "starred_at"
-    )
+    whole = combine(spark.read.parquet(out), ["arxiv_id"], BATCH, STAR_FIELDS)
+    return present(whole).withColumnRenamed("first_ts", "starred_at")
 
 
 def compact(spark: SparkSession, out: str, target: str) -> None:
