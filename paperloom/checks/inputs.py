@@ -44,6 +44,15 @@ def _texts(words: tuple[str, ...]) -> str:
     return "|".join(words)
 
 
+def _json_text(col: str) -> str:
+    """JSON string body of a text column, spelled so that both engines read it alike."""
+    out = f"replace({col}, chr(92), concat(chr(92), chr(92)))"
+    for code, letter in ((34, chr(34)), (10, "n"), (13, "r"), (9, "t")):
+        mark = "chr(34)" if code == 34 else f"'{letter}'"
+        out = f"replace({out}, chr({code}), concat(chr(92), {mark}))"
+    return out
+
+
 VIEWS: dict[str, str] = {
     "papers": f"""
 SELECT doc_id, {_pid('doc_id')} AS arxiv_id, split_part(text, chr(10), 1) AS title, text AS abstract,
@@ -72,11 +81,43 @@ FROM {papers}""",
 SELECT arxiv_id, CASE doc_id % 5
   WHEN 0 THEN body WHEN 1 THEN concat('```json', chr(10), body, chr(10), '```')
   WHEN 2 THEN concat('Here you go: ', body, ' Hope it helps.')
+  WHEN 3 THEN concat(body, ' and ', body)
   ELSE '{broken' END AS reply
-FROM (SELECT doc_id, arxiv_id, concat('{"topic_alignment":{"score":', cast(doc_id * 37 % 141 - 20 AS STRING),
+FROM (SELECT doc_id, arxiv_id, lang, concat('{"topic_alignment":{"score":', cast(doc_id * 37 % 141 - 20 AS STRING),
    ',"reason":"r"},"methodology_fit":{"score":"', cast(doc_id * 13 % 101 AS STRING), '"}',
    CASE WHEN doc_id % 2 = 0 THEN concat(',"novelty":{"score":', cast(doc_id % 100 AS STRING), '}') ELSE '' END, '}') AS body
-  FROM {papers}) b WHERE doc_id % 5 <> 4""",
+  FROM {papers}) b WHERE lang <> 'es'""",
+    # model replies of the later steps; papers in Spanish got none
+    "core_replies": f"""
+SELECT arxiv_id, CASE doc_id % 4 WHEN 0 THEN body WHEN 1 THEN concat('```', chr(10), body, '```')
+  WHEN 2 THEN concat('Sure: ', body) ELSE concat('[', body, ']') END AS reply
+FROM (SELECT doc_id, arxiv_id, lang, concat('{{"problem":" ', {_json_text('title')}, ' ","solution":"', source,
+  '","methodology":"', {_json_text('abstract')}, '","conclusion":"', CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Done.' END,
+  '","figure_assignments":', CASE WHEN doc_id % 7 = 0 THEN '["methodology"]' ELSE concat('{{"fig_0":"',
+    CASE doc_id % 3 WHEN 0 THEN 'Methodology' WHEN 1 THEN ' problem ' ELSE 'weird' END, '","fig_1":"',
+    CASE doc_id % 2 WHEN 0 THEN 'experiments' ELSE 'conclusion' END, '"}}') END, '}}') AS body FROM {{papers}}) b
+WHERE lang <> 'es'""",
+    "question_replies": f"""
+SELECT arxiv_id, CASE doc_id % 4 WHEN 1 THEN '{{"questions":[3,{{"question":"x"}}]}}' WHEN 2 THEN '{{"questions":[]}}'
+  ELSE concat('{{"questions":[{{"question":" ', {_json_text('title')}, ' ","reason":""}},{{"question":"  ","reason":"x"}},',
+   '{{"question":"Q ', source, '"}},{{"question":"three","reason":" why "}},{{"question":"four","reason":"4"}},',
+   '{{"question":"five","reason":"5"}}]}}') END AS reply
+FROM {{papers}} WHERE lang <> 'es'""",
+    "answer_replies": f"""
+SELECT p.arxiv_id, t.pos, CASE (p.doc_id + t.pos) % 4 WHEN 0 THEN concat('{{"answer":" ', {_json_text('p.title')}, ' ","confidence":1.7}}')
+  WHEN 1 THEN '{{"answer":"plain"}}' WHEN 2 THEN '{{"confidence":"0.25"}}' ELSE '{{"answer":"bad","confidence":"high"}}' END AS reply
+FROM {{papers}} p JOIN (VALUES (0), (1), (2)) AS t(pos) ON p.lang <> 'es'""",
+    "text_replies": """
+SELECT arxiv_id, CASE doc_id % 3 WHEN 0 THEN concat(' "', title, '" ') WHEN 1 THEN '   ' ELSE concat('Note on ', source) END AS reply
+FROM {papers} WHERE lang <> 'es'""",
+    "translation_replies": f"""
+SELECT arxiv_id, concat('{{"title":"译 ', {_json_text('title')}, '","brief_summary":"","relevance":" 相关 ",',
+  '"core_summary":{{"problem":"问题","conclusion":null}},"figure_captions":',
+  CASE doc_id % 2 WHEN 0 THEN '["图一"]' ELSE '["图一","图二"]' END, ',"findings":[{{"question":"问","answer":"答"}}]}}') AS reply
+FROM {{papers}} WHERE lang <> 'es'""",
+    "profile_replies": """
+SELECT DISTINCT interest_prompt AS prompt_key, concat('{"summary":" ', interest_prompt, ' ","research_questions":["a"," b","c","d","e","f","g"],',
+  '"must_have_keywords":["k1","k2"],"anti_keywords":[]}') AS reply FROM {topics}""",
     "state_events": f"""
 SELECT event_id, ts, {_pid('user_id')} AS arxiv_id,
   CASE event_type WHEN 'signup' THEN 'star' WHEN 'purchase' THEN 'star_replace' WHEN 'error' THEN 'unstar'
