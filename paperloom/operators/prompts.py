@@ -118,7 +118,10 @@ def questions(records: DataFrame) -> DataFrame:
     p = F.col("profile")
     user = F.concat(
         F.lit("Title: "), F.col("title"), F.lit("\nAbstract: "), F.col("abstract"),
-        F.coalesce(F.concat(F.lit("\n\nSummary:\n"), _aspect_lines(F.col("core_summary"), 300)), F.lit("")),
+        F.when(
+            F.col("core_summary").isNotNull(),
+            F.concat(F.lit("\n\nSummary:\n"), _aspect_lines(F.col("core_summary"), 300)),
+        ).otherwise(""),
         F.lit("\n\nInterests:\n"), F.col("interest_prompt"),
         F.lit("\n\nProfile: "), p["summary"],
         F.lit("\nResearch questions: "), F.array_join(p["research_questions"], "; "),

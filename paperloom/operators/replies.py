@@ -220,7 +220,8 @@ def offline_answer(question: Column, body_sentences: Column) -> Column:
     words = F.transform(question_keywords(question), lambda w: F.lower(w))
     found = F.slice(
         F.filter(
-            body_sentences, lambda s: F.exists(words, lambda w: F.contains(F.lower(s), w))
+            body_sentences,
+            lambda s: let(F.lower(s), lambda low: F.exists(words, lambda w: F.contains(low, w))),
         ),
         1,
         2,
