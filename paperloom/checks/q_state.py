@@ -46,7 +46,8 @@ def state_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NOTES = """
-ok AS (SELECT *, trim(quote) AS q, trim(note) AS n FROM {note_events} WHERE op = 'delete' OR (stage <> 'bad' AND trim(quote) <> '')),
+ok AS (SELECT *, trim(quote, ' ' || chr(9) || chr(10) || chr(13)) AS q, trim(note) AS n FROM {note_events}
+  WHERE op = 'delete' OR (stage <> 'bad' AND trim(quote, ' ' || chr(9) || chr(10) || chr(13)) <> '')),
 lives AS (SELECT *, sum(CASE WHEN op = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY arxiv_id, note_id ORDER BY ts, event_id) AS life FROM ok),
 last AS (SELECT arxiv_id, note_id, max(life) AS life FROM lives GROUP BY arxiv_id, note_id),
 notes AS (SELECT l.arxiv_id, l.note_id, min(ts) AS created_at, max(ts) AS updated_at, arg_max(stage, (ts, event_id)) AS stage,
@@ -69,7 +70,7 @@ def annotation_state(spark: SparkSession, sf: str) -> DataFrame:
     "annotation_rejects",
     """
 SELECT event_id, CASE WHEN stage = 'bad' THEN 'invalid stage' ELSE 'quote required' END AS reason FROM {note_events}
-WHERE op = 'upsert' AND (stage = 'bad' OR trim(quote) = '')""",
+WHERE op = 'upsert' AND (stage = 'bad' OR trim(quote, ' ' || chr(9) || chr(10) || chr(13)) = '')""",
 )
 def annotation_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return state.rejected_notes(view(spark, sf, "note_events")).select("event_id", "reason")
@@ -193,9 +194,14 @@ def archive_new_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _landed(df: DataFrame, spark: SparkSession, by: str, files: int) -> str:
-    """The rows as files of a landing folder, in `by` order."""
+    """The rows as files that land one after the other, in `by` order."""
     path = shared_dir(spark, "landing")
-    df.repartitionByRange(files, by).sortWithinPartitions(by).write.parquet(path)
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    step = (high - low) / files
+    for i in range(files):
+        after = F.col(by) >= F.lit(low + step * i) if i else F.lit(True)
+        until = F.col(by) < F.lit(low + step * (i + 1)) if i < files - 1 else F.lit(True)
+        df.where(after & until).coalesce(1).write.mode("append").parquet(path)
     return path
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from paperloom.functions.text import filled, strip
+from paperloom.functions.text import filled, let, strip
 
 # Figure stages and the ones kept for display.
 FIGURE_STAGES = ("problem", "solution", "methodology", "experiments", "conclusion", "none")
@@ -21,10 +21,18 @@ def _whole_json(text: Column) -> Column:
     unnoticed.  Text that parses both as the sole item of a list and as the sole
     value of an object has nothing before or after it.
     """
-    as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    as_value = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    single = F.try_variant_get(as_item, "$[1]", "variant").isNull()
-    return F.when(as_item.isNotNull() & single, F.variant_get(as_value, "$.v", "variant"))
+
+    def read(t: Column) -> Column:
+        as_value = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        return let(
+            F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))),
+            lambda item: F.when(
+                item.isNotNull() & F.try_variant_get(item, "$[1]", "variant").isNull(),
+                F.variant_get(as_value, "$.v", "variant"),
+            ),
+        )
+
+    return let(text, read)
 
 
 def is_object(doc: Column) -> Column:
@@ -37,12 +45,16 @@ def loose_json(reply: Column) -> Column:
     An empty reply is an empty object.  Null means the reply is missing or unusable,
     which includes JSON that is not an object.
     """
-    text = strip(reply)
-    text = F.when(text.startswith("```"), strip(F.regexp_replace(text, FENCE, ""))).otherwise(text)
-    direct = _whole_json(text)
-    inner = _whole_json(filled(F.regexp_extract(text, OUTER_OBJECT, 0)))
-    doc = F.when(reply == "", F.parse_json(F.lit("{}"))).otherwise(F.coalesce(direct, inner))
-    return F.when(is_object(doc), doc)
+
+    def unfenced(t: Column) -> Column:
+        return F.when(t.startswith("```"), strip(F.regexp_replace(t, FENCE, ""))).otherwise(t)
+
+    def read(t: Column) -> Column:
+        inner = _whole_json(filled(F.regexp_extract(t, OUTER_OBJECT, 0)))
+        doc = F.when(reply == "", F.parse_json(F.lit("{}"))).otherwise(F.coalesce(_whole_json(t), inner))
+        return let(doc, lambda d: F.when(is_object(d), d))
+
+    return F.when(reply.isNotNull(), let(let(strip(reply), unfenced), read))
 
 
 def clamp(value: Column, low: float, high: float) -> Column:

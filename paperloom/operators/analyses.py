@@ -12,6 +12,7 @@ from paperloom.functions.text import filled, strip
 from paperloom.operators.figures import legacy_figure
 from paperloom.operators.prompts import ASPECTS
 from paperloom.operators.ranking import first_per_key
+from paperloom.operators.shape import explode_rows
 
 # Stored time format, index width, section order.
 STAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -228,6 +229,6 @@ def sections(analyses: DataFrame, locale: str = "en") -> DataFrame:
         ("qa", qa),
     ]
     rows = F.array(*[F.struct(F.lit(n).alias("stage"), t.alias("section")) for n, t in parts])
-    return analyses.select("arxiv_id", F.explode(rows).alias("s")).select("arxiv_id", "s.*").where(
+    return explode_rows(analyses, rows, "s", ["arxiv_id"]).select("arxiv_id", "s.*").where(
         filled(F.col("section")).isNotNull()
     )

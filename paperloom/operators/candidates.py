@@ -11,6 +11,7 @@ from paperloom.config import DEFAULT_CATEGORY_SCOPE, Topic, topics_df
 from paperloom.functions.dates import split_windows
 from paperloom.functions.ids import typed_id
 from paperloom.operators.ranking import top_per_group
+from paperloom.operators.shape import explode_rows
 
 
 def with_id(papers: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def topic_candidates(papers: DataFrame, topics: Sequence[Topic]) -> DataFrame:
             ]
         )
     )
-    return staged.withColumn("topic_idx", F.explode(matched)).drop("_title", "_abstract")
+    return explode_rows(staged, matched, "topic_idx", papers.columns)
 
 
 def with_topics(candidates: DataFrame, topics: Sequence[Topic]) -> DataFrame:
@@ -93,9 +94,7 @@ def window_candidates(papers: DataFrame, start: datetime, end: datetime, chunk_d
     windows = split_windows(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), chunk_days)
     ranged = in_window(papers, start, end)
     hits = F.filter(windows, lambda w: F.col("published").between(w["win_start"], w["win_end"]))
-    return ranged.withColumn("_w", F.explode(hits)).select(
-        *[F.col(c) for c in papers.columns], "_w.window_idx", "_w.win_start", "_w.win_end"
-    )
+    return explode_rows(ranged, hits, "_w").select(*papers.columns, "_w.window_idx", "_w.win_start", "_w.win_end")
 
 
 def single_window(candidates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from paperloom.functions import html
 from paperloom.functions.replies import KEPT_STAGES
 from paperloom.functions.text import filled, squeeze, strip, truncate
 from paperloom.operators.ranking import first_per_key, number_within, top_per_group
+from paperloom.operators.shape import compute_once, explode_rows, posexplode_rows
 
 # Fixed value: figures kept per paper.
 MAX_FIGURES = 8
@@ -16,13 +17,13 @@ MAX_FIGURES = 8
 
 def page_text(pages: DataFrame, max_chars: int | None = DEFAULT_PAGE_CHARS) -> DataFrame:
     """Readable text per page, cut with a marker when `max_chars` is given."""
-    out = pages.withColumn("body", html.page_text(F.col("html")))
+    out = compute_once(pages, "body", html.page_text(F.col("html")))
     return out.withColumn("body", truncate(F.col("body"), max_chars)) if max_chars else out
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
     """Paragraphs of a page in order: ``(page_id, pos, text)``."""
-    return pages.select("page_id", F.posexplode(html.paragraphs(F.col("html"))).alias("pos", "text"))
+    return posexplode_rows(pages, html.paragraphs(F.col("html")), "pos", "text", ["page_id"])
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     anchors = F.transform(
         html.elements(F.col("html"), "a"), lambda e: html.attribute(e["attrs"], "href")
     )
-    links = pages.select("page_id", "url", F.posexplode(anchors).alias("pos", "href"))
+    links = posexplode_rows(pages, anchors, "pos", "href", ["page_id", "url"])
     return links.where(F.col("href").isNotNull()).select(
         "page_id", "pos", html.resolve_url(F.col("href"), F.col("url")).alias("link")
     )
@@ -39,12 +40,13 @@ def page_links(pages: DataFrame) -> DataFrame:
 def with_figures(pages: DataFrame, cap: int | None = MAX_FIGURES) -> DataFrame:
     """Add ``figures`` to each page, the first `cap` in page order."""
     found = html.figures(F.col("html"), F.col("url"))
-    return pages.withColumn("figures", F.slice(found, 1, cap) if cap else found)
+    return compute_once(pages, "figures", F.slice(found, 1, cap) if cap else found)
 
 
 def figure_rows(pages: DataFrame) -> DataFrame:
     """Long form: one row per figure."""
-    return with_figures(pages, None).select("page_id", F.explode("figures").alias("f")).select("page_id", "f.*")
+    found = html.figures(F.col("html"), F.col("url"))
+    return explode_rows(pages, found, "f", ["page_id"]).select("page_id", "f.*")
 
 
 def best_figure(figures: Column) -> Column:
@@ -75,11 +77,8 @@ def block_captions(blocks: DataFrame) -> DataFrame:
     `blocks` has ``doc_id, page, y0, text``.  Numbering goes by page and height and is
     done page by page.
     """
-    named = (
-        blocks.select("doc_id", "page", "y0", strip(F.col("text")).alias("text"))
-        .withColumn("num", html.caption_number(F.col("text")))
-        .where(F.col("num").isNotNull())
-    )
+    trimmed = blocks.select("doc_id", "page", "y0", strip(F.col("text")).alias("text"))
+    named = compute_once(trimmed, "num", html.caption_number(F.col("text"))).where(F.col("num").isNotNull())
     first = first_per_key(named, ["doc_id", "page", "num"], [F.col("y0"), F.col("text")])
     numbered = number_within(first, ["doc_id"], "page", [F.col("y0"), F.col("num")], "order")
     return numbered.select(
@@ -101,7 +100,7 @@ def block_references(blocks: DataFrame) -> DataFrame:
     flat = blocks.select("doc_id", "page", "y0", squeeze(F.col("text")).alias("text")).where(
         (F.length("text") >= html.MIN_PARAGRAPH) & html.caption_number(F.col("text")).isNull()
     )
-    cites = flat.withColumn("num_text", F.explode(html.cited_numbers(F.col("text")))).withColumn(
+    cites = explode_rows(flat, html.cited_numbers(F.col("text")), "num_text").withColumn(
         "num", F.col("num_text").try_cast("int")
     )
     top = top_per_group(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paperloom.config import Topic
 from paperloom.functions.ids import find_id
 from paperloom.functions.text import strip
+from paperloom.operators.shape import compute_once
 
 # The topic used when none is configured.
 ADHOC_TOPIC = Topic("ad-hoc", "Ad-hoc submission")
@@ -20,7 +21,7 @@ def triage(submissions: DataFrame, analyses: DataFrame) -> DataFrame:
     The readiness poll is the same lookup.
     """
     done = analyses.select("arxiv_id").distinct().withColumn("_done", F.lit(True))
-    found = submissions.withColumn("arxiv_id", find_id(strip(F.coalesce("raw", F.lit("")))))
+    found = compute_once(submissions, "arxiv_id", find_id(strip(F.coalesce("raw", F.lit("")))))
     return (
         found.join(done, "arxiv_id", "left")
         .withColumn(

@@ -14,6 +14,7 @@ from paperloom.functions.bilingual import pick
 from paperloom.functions.scoring import two_decimals
 from paperloom.functions.text import excerpt, filled, strip
 from paperloom.operators.chats import turn_messages
+from paperloom.operators.shape import posexplode_rows
 
 ENGLISH = " Answer in English."
 JSON_HINT = "Reply with exactly one JSON object and nothing else."
@@ -133,7 +134,7 @@ def questions(records: DataFrame) -> DataFrame:
 
 def answers(records: DataFrame, max_chars: int = DEFAULT_MAX_CONTENT_CHARS) -> DataFrame:
     """One prompt per task, with its position."""
-    long = records.select("arxiv_id", "title", "body", F.posexplode("tasks").alias("pos", "task"))
+    long = posexplode_rows(records, F.col("tasks"), "pos", "task", ["arxiv_id", "title", "body"])
     user = F.concat(
         F.lit("Question: "), F.col("task.question"), F.lit("\nWhy: "), F.col("task.reason"),
         F.lit("\n\nTitle: "), F.col("title"), F.lit("\nContent: "), F.substring("body", 1, max_chars),

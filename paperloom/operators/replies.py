@@ -24,6 +24,7 @@ from paperloom.functions.text import (
 )
 from paperloom.operators.prompts import ASPECTS
 from paperloom.operators.selection import with_totals
+from paperloom.operators.shape import compute_once
 
 # Texts that stand in for missing parts.
 NO_INFORMATION = "No relevant information found"
@@ -64,7 +65,7 @@ def with_doc(rows: DataFrame, replies: DataFrame, *keys: str) -> DataFrame:
     """Left-join replies and parse them into ``_doc``; null when missing or unusable."""
     keys = keys or ("arxiv_id",)
     joined = rows.join(one_reply(replies, *keys), list(keys), "left")
-    return joined.withColumn("_doc", R.loose_json(F.col("_reply"))).drop("_reply")
+    return compute_once(joined, "_doc", R.loose_json(F.col("_reply"))).drop("_reply")
 
 
 def with_text(rows: DataFrame, replies: DataFrame) -> DataFrame:
@@ -79,17 +80,15 @@ def with_text(rows: DataFrame, replies: DataFrame) -> DataFrame:
 def relevance(scored: DataFrame, replies: DataFrame, dimensions: Sequence[Dimension], *keys: str) -> DataFrame:
     """Scores from a reply where all dimensions are usable, else the offline ones in ``scores``."""
     rows = with_doc(scored, replies, *keys)
-    for i, dim in enumerate(dimensions):
-        rows = rows.withColumn(f"_d{i}", R.reply_score(F.col("_doc"), dim.name))
-    usable = F.col("_doc").isNotNull()
-    for i in range(len(dimensions)):
-        usable = usable & F.col(f"_d{i}.usable")
+    read = F.array(*[R.reply_score(F.col("_doc"), d.name) for d in dimensions])
+    rows = compute_once(rows, "_dims", F.when(F.col("_doc").isNotNull(), read))
+    usable = F.forall("_dims", lambda d: d["usable"])
     from_reply = F.array(
         *[
             F.struct(
                 F.lit(d.name).alias("name"),
                 F.lit(float(d.weight)).alias("weight"),
-                F.col(f"_d{i}.value").alias("value"),
+                F.col("_dims")[i]["value"].alias("value"),
             )
             for i, d in enumerate(dimensions)
         ]
@@ -97,7 +96,7 @@ def relevance(scored: DataFrame, replies: DataFrame, dimensions: Sequence[Dimens
     rows = rows.withColumn("from_reply", F.coalesce(usable, F.lit(False))).withColumn(
         "scores", F.when(F.col("from_reply"), from_reply).otherwise(F.col("scores"))
     )
-    return with_totals(rows.drop("_doc", *[f"_d{i}" for i in range(len(dimensions))]))
+    return with_totals(rows.drop("_doc", "_dims"))
 
 
 # --- core summary and figure stages ------------------------------------------------
@@ -113,9 +112,8 @@ def core(records: DataFrame, replies: DataFrame | None = None) -> DataFrame:
         rows = with_doc(records, replies)
         doc = F.col("_doc")
         summary = F.struct(*[R.text_field(doc, f"$.{a}", NO_INFORMATION).alias(a) for a in ASPECTS])
-        rows = rows.withColumn("core_summary", F.when(doc.isNotNull(), summary)).withColumn(
-            "_stages", F.try_variant_get(doc, "$.figure_assignments", "map<string,string>")
-        )
+        rows = rows.withColumn("core_summary", F.when(doc.isNotNull(), summary))
+        rows = compute_once(rows, "_stages", F.try_variant_get(doc, "$.figure_assignments", "map<string,string>"))
         staged = F.transform(
             "figures",
             lambda f, i: f.withField(
@@ -236,33 +234,37 @@ def offline_answer(question: Column, body_sentences: Column) -> Column:
     return let(used, answer)
 
 
+def given_answer(doc: Column) -> Column:
+    """``struct(answer, confidence, usable)`` from one parsed reply."""
+    sure = F.variant_get(doc, "$.confidence", "variant")
+    number = F.when(sure.isNull(), F.lit(0.5)).otherwise(F.try_variant_get(doc, "$.confidence", "double"))
+    return F.struct(
+        R.text_field(doc, "$.answer", NO_ANSWER).alias("answer"),
+        R.clamp(number, 0.0, 1.0).alias("confidence"),
+        (doc.isNotNull() & number.isNotNull()).alias("usable"),
+    )
+
+
 def answers(records: DataFrame, replies: DataFrame | None = None) -> DataFrame:
     """Add ``findings``: every task with its answer and confidence.
 
     Replies come one per task (``arxiv_id, pos, reply``).  They are folded to one row
     per paper first, so the body text is joined, not multiplied.
     """
-    slots = [f"_r{i}" for i in range(MAX_QUESTIONS)]
+
+    def read(reply: Column) -> Column:
+        return let(R.loose_json(reply), given_answer)
+
     if replies is None:
-        rows = records.withColumns({s: F.lit(None).cast("string") for s in slots})
+        rows = records.withColumn("_given", F.array().cast("array<struct<answer:string,confidence:double,usable:boolean>>"))
     else:
+        slots = [f"_r{i}" for i in range(MAX_QUESTIONS)]
         folded = replies.groupBy("arxiv_id").agg(
             *[F.max(F.when(F.col("pos") == i, F.col("reply"))).alias(s) for i, s in enumerate(slots)]
         )
         rows = records.join(folded, "arxiv_id", "left")
-    given = []
-    for s in slots:
-        rows = rows.withColumn(s, R.loose_json(F.col(s)))
-        sure = F.variant_get(F.col(s), "$.confidence", "variant")
-        number = F.when(sure.isNull(), F.lit(0.5)).otherwise(F.try_variant_get(F.col(s), "$.confidence", "double"))
-        given.append(
-            F.struct(
-                R.text_field(F.col(s), "$.answer", NO_ANSWER).alias("answer"),
-                R.clamp(number, 0.0, 1.0).alias("confidence"),
-                (F.col(s).isNotNull() & number.isNotNull()).alias("usable"),
-            )
-        )
-    rows = rows.withColumn("_given", F.array(*given)).withColumn("_sentences", sentences(F.col("body")))
+        rows = compute_once(rows, "_given", F.transform(F.array(*slots), read)).drop(*slots)
+    rows = compute_once(rows, "_sentences", sentences(F.col("body")))
 
     def finding(task: Column, i: Column) -> Column:
         own = F.get(F.col("_given"), i)
@@ -280,7 +282,7 @@ def answers(records: DataFrame, replies: DataFrame | None = None) -> DataFrame:
             ),
         )
 
-    return rows.withColumn("findings", F.transform("tasks", finding)).drop(*slots, "_given", "_sentences")
+    return compute_once(rows, "findings", F.transform("tasks", finding)).drop("_given", "_sentences")
 
 
 # --- short texts --------------------------------------------------------------------

@@ -12,6 +12,7 @@ from paperloom.functions import ids, scoring
 from paperloom.functions.dates import day
 from paperloom.operators.candidates import with_topics
 from paperloom.operators.ranking import first_per_key
+from paperloom.operators.shape import compute_once
 from paperloom.session import ensure_checkpoint_dir
 
 # The placeholder a topic without candidates gets.
@@ -31,7 +32,8 @@ def score_candidates(
     """Add ``scores``, ``total_score`` and ``score`` (0-100) by keyword rules."""
     joined = with_topics(candidates, conf.topics)
     text = F.lower(F.concat_ws(" ", F.col("title"), F.col("abstract")))
-    scored = joined.withColumn("_text", text).withColumn(
+    scored = compute_once(
+        joined.withColumn("_text", text),
         "scores",
         scoring.offline_scores(
             conf.dimensions,
