@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.config import Topic, TriageConfig
 from paperloom.functions import ids
+from paperloom.sources.tables import read_table
 
 TABLES = ("documents", "pages", "events", "conversations", "labels", "benchmark")
 
@@ -176,7 +177,7 @@ _NAME = re.compile(r"\{([a-z_]+)\}")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ ENTITIES = (
     ("&rdquo;", "”"),
     ("&amp;", "&"),
 )
-COMMENT = r"(?s)<!--.*?-->"
+DROPPED = rf"(?is)<!--.*?-->|<({'|'.join(DROPPED_TAGS)})\b[^>]*>.*?</\1\s*>"
 ANY_TAG = r"</?[a-zA-Z!?][^>]*>"
 NUMBERED_ENTITY = r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 CITED_FIGURE = r"(?iU)(?:\bfig(?:ure)?\.?\s*|图\s*)(\d+)\b"
@@ -87,10 +87,7 @@ def unescape(col: Column) -> Column:
 
 def without_dropped(html: Column) -> Column:
     """Page without comments and without script, style, navigation and head blocks."""
-    col = F.regexp_replace(html, COMMENT, "")
-    for tag in DROPPED_TAGS:
-        col = F.regexp_replace(col, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return col
+    return F.regexp_replace(html, DROPPED, "")
 
 
 def page_text(html: Column) -> Column:
@@ -168,18 +165,20 @@ def cited_numbers(text: Column) -> Column:
 
 def figure_rank(order: Column, caption: Column) -> Column:
     """Preference for the figure that explains the work best."""
-    text = F.lower(F.coalesce(caption, F.lit("")))
 
-    def mentions(words: tuple[str, ...]) -> Column:
+    def mentions(text: Column, words: tuple[str, ...]) -> Column:
         return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
 
-    return (
-        F.when(order == 0, 10.0).otherwise(0.0)
-        + F.when(mentions(OVERVIEW_WORDS), 5.0).otherwise(0.0)
-        + F.when(mentions(RESULT_WORDS), 2.0).otherwise(0.0)
-        - F.when(text == "", 1.0).otherwise(0.0)
-        - order.cast("double") * 0.01
-    )
+    def rank(text: Column) -> Column:
+        return (
+            F.when(order == 0, 10.0).otherwise(0.0)
+            + F.when(mentions(text, OVERVIEW_WORDS), 5.0).otherwise(0.0)
+            + F.when(mentions(text, RESULT_WORDS), 2.0).otherwise(0.0)
+            - F.when(text == "", 1.0).otherwise(0.0)
+            - order.cast("double") * 0.01
+        )
+
+    return let(F.lower(F.coalesce(caption, F.lit(""))), rank)
 
 
 def figures(html: Column, page_url: Column) -> Column:
@@ -235,7 +234,7 @@ def figures(html: Column, page_url: Column) -> Column:
 
 def reference_text(citing: Column, number: Column) -> Column:
     """First three of ``array<struct(text, nums)>`` that cite `number`, 1,500 characters at most."""
-    hits = F.filter(citing, lambda p: F.array_contains(p["nums"], number))
+    hits = let(number, lambda n: F.filter(citing, lambda p: F.array_contains(p["nums"], n)))
     joined = F.array_join(F.transform(F.slice(hits, 1, MAX_REFERENCES), lambda p: p["text"]), "\n\n")
     return F.substring(joined, 1, MAX_REFERENCE_CHARS)
 

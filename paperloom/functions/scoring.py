@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from paperloom.config import EXPERIMENT_WORDS, NOVELTY_WORDS, Dimension
 from paperloom.functions.replies import clamp
+from paperloom.functions.text import let
 
 
 def hits(words: Column, text: Column) -> Column:
@@ -48,10 +49,9 @@ def offline_scores(
     rules = {
         "topic_alignment": lambda: keyword_score(include, text) * 70.0
         + keyword_score(categories, text) * 30.0,
-        "methodology_fit": lambda: keyword_score(
-            include, F.concat(text, F.lit(" "), F.lower(interest))
-        )
-        * 80.0,
+        "methodology_fit": lambda: let(
+            F.concat(text, F.lit(" "), F.lower(interest)), lambda both: keyword_score(include, both) * 80.0
+        ),
         "novelty": lambda: hint_score(novelty_words, text) * 60.0 + 40.0,
         "experiment_coverage": lambda: hint_score(experiment_words, text) * 70.0 + 30.0,
     }

@@ -46,6 +46,7 @@ def number_within(
     `chunk` is a column that orders before `order` and splits a group into moderate
     pieces.  Rows are numbered per piece and shifted by the sizes of earlier pieces.
     """
+    df = df.repartition(*keys, chunk)  # one exchange that both branches below share
     pieces = df.groupBy(*keys, chunk).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     shift = pieces.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

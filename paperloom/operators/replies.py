@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.config import DEFAULT_TASK_LIST_SIZE, Dimension
+from paperloom.config import DEFAULT_TASK_LIST_SIZE, Dimension, Topic, topics_df
 from paperloom.functions import replies as R
 from paperloom.functions.text import (
     brief_from_abstract,
@@ -152,10 +152,14 @@ def memo(rows: DataFrame, key: str, work: Callable[[DataFrame], DataFrame]) -> D
     return rows.join(work(rows.select(key).distinct()), key, "left")
 
 
-def interest_profiles(rows: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+def interest_profiles(
+    rows: DataFrame, replies: DataFrame | None = None, topics: Sequence[Topic] | None = None
+) -> DataFrame:
     """Add ``profile``, worked out once per distinct interest text.
 
-    `replies` is keyed by ``prompt_key``, the trimmed text.
+    `replies` is keyed by ``prompt_key``, the trimmed text.  When the texts come from
+    configured topics, pass those: the profiles are then as few and are broadcast
+    instead of shuffling all rows by a handful of texts.
     """
 
     def work(prompts: DataFrame) -> DataFrame:
@@ -167,7 +171,10 @@ def interest_profiles(rows: DataFrame, replies: DataFrame | None = None) -> Data
         doc = F.when(F.col("prompt_key") != "", F.col("_doc"))
         return keyed.select("interest_prompt", profile_of(doc, F.col("prompt_key")).alias("profile"))
 
-    return memo(rows, "interest_prompt", work)
+    if topics is None:
+        return memo(rows, "interest_prompt", work)
+    known = topics_df(rows.sparkSession, topics).select("interest_prompt").distinct()
+    return rows.join(F.broadcast(work(known)), "interest_prompt", "left")
 
 
 # --- questions and answers ----------------------------------------------------------
@@ -214,20 +221,22 @@ def reading_tasks(records: DataFrame, replies: DataFrame, size: int = DEFAULT_TA
 
 
 def offline_answer(question: Column, body_sentences: Column) -> Column:
-    """First two sentences with one of the question's keywords, else the first sentence."""
-    words = F.transform(question_keywords(question), lambda w: F.lower(w))
-    found = F.slice(
-        F.filter(
-            body_sentences,
-            lambda s: let(F.lower(s), lambda low: F.exists(words, lambda w: F.contains(low, w))),
+    """First two sentences with one of the question's keywords, else the first sentence.
+
+    `body_sentences` is an array of ``struct(text, low)``, `low` being lower case.
+    """
+    keywords = F.transform(question_keywords(question), lambda w: F.lower(w))
+    found = let(
+        keywords,
+        lambda words: F.slice(
+            F.filter(body_sentences, lambda s: F.exists(words, lambda w: F.contains(s["low"], w))), 1, 2
         ),
-        1,
-        2,
     )
     used = let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.slice(body_sentences, 1, 1)))
 
     def answer(sents: Column) -> Column:
-        text = F.coalesce(filled(strip(F.array_join(sents, " "))), F.lit(NO_OFFLINE_ANSWER))
+        joined = F.array_join(F.transform(sents, lambda s: s["text"]), " ")
+        text = F.coalesce(filled(strip(joined)), F.lit(NO_OFFLINE_ANSWER))
         sure = R.clamp(F.size(sents).cast("double") * 0.3 + 0.4, 0.0, 1.0)
         return F.struct(text.alias("answer"), sure.alias("confidence"))
 
@@ -264,7 +273,8 @@ def answers(records: DataFrame, replies: DataFrame | None = None) -> DataFrame:
         )
         rows = records.join(folded, "arxiv_id", "left")
         rows = compute_once(rows, "_given", F.transform(F.array(*slots), read)).drop(*slots)
-    rows = compute_once(rows, "_sentences", sentences(F.col("body")))
+    both = F.transform(sentences(F.col("body")), lambda s: F.struct(s.alias("text"), F.lower(s).alias("low")))
+    rows = compute_once(rows, "_sentences", both)
 
     def finding(task: Column, i: Column) -> Column:
         own = F.get(F.col("_given"), i)
@@ -379,6 +389,6 @@ def translation(records: DataFrame, replies: DataFrame | None, language: str = "
         captions.alias("figure_captions"),
         F.transform("findings", merged_finding).alias("findings"),
     )
-    return rows.withColumn("tr", F.when(doc.isNotNull(), bundle)).drop(
+    return compute_once(rows, "tr", F.when(doc.isNotNull(), bundle)).drop(
         "_doc", "_captions", "_tr_captions", "_tr_findings"
     )

@@ -93,7 +93,7 @@ def analyse(
             .drop("_page", "_other")
         )
     rows = R.core(rows, have.get("core"))
-    rows = R.interest_profiles(rows, have.get("profile"))
+    rows = R.interest_profiles(rows, have.get("profile"), conf.topics)
     rows = R.questions(rows, have.get("questions"))
     rows = R.answers(rows, have.get("answer"))
     rows = R.findings_summary(rows, have.get("findings"))
@@ -145,7 +145,7 @@ def publish(
     payload.write.mode("overwrite").parquet(run)  # computed once, read by all three outputs
     fresh = spark.read.parquet(run)
     stored = sinks.upsert_analyses(fresh.drop("pos"), f"{path}/analyses")
-    sinks.write_index(stored, f"{path}/index")
+    sinks.update_index(fresh, f"{path}/index")
     lines = digest.digest_lines(fresh, conf.language, run_ts, conf.site_base_url)
     sinks.write_digest(lines, f"{path}/digest/{run_ts:%Y%m%dT%H%M%S}")
     return stored

@@ -1,64 +1,103 @@
-"""Writers.  Tables are written as numbered versions; a version counts once it is complete."""
+"""Writers.
+
+A store is a folder of numbered parts: ``base=N`` holds all rows up to N, ``delta=M``
+the rows written as M.  Adding costs what is added; readers take the newest row per
+key.  A part counts once its commit marker is there, so a failed write is never seen.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.operators import analyses as A
 from paperloom.operators import archive
+from paperloom.operators.ranking import first_per_key
 
-VERSION = "version"
+KEY = ("arxiv_id",)
 
 
-def _fs(spark: SparkSession, path: str):
+def parts(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Committed part numbers by kind."""
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
-
-
-def latest_version(spark: SparkSession, path: str) -> int | None:
-    """Highest committed version below `path`, null when there is none."""
-    fs, hpath, jvm = _fs(spark, path)
-    if not fs.exists(hpath):
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"base": [], "delta": []}
+    if not fs.exists(root):
+        return found
+    for status in fs.listStatus(root):
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in found and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found[kind].append(int(number))
+    return found
+
+
+def _live(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Parts that make up the current state, oldest first."""
+    found = parts(spark, path)
+    base = max(found["base"], default=None)
+    start = [] if base is None else [("base", base)]
+    return start + [("delta", d) for d in sorted(found["delta"]) if base is None or d > base]
+
+
+def append(df: DataFrame, path: str, number: int | None = None) -> int:
+    """Add rows as the next part; a given number makes a repeated write replace itself."""
+    if number is None:
+        live = _live(df.sparkSession, path)
+        number = live[-1][1] + 1 if live else 0
+    df.write.mode("overwrite").parquet(f"{path}/delta={number}")
+    return number
+
+
+def current(spark: SparkSession, path: str, keys: Sequence[str] = KEY) -> DataFrame | None:
+    """Newest row per key over the live parts, null for an empty store."""
+    live = _live(spark, path)
+    if not live:
         return None
-    done = [
-        int(status.getPath().getName().split("=")[1])
-        for status in fs.listStatus(hpath)
-        if status.getPath().getName().startswith(f"{VERSION}=")
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-    ]
-    return max(done) if done else None
+    frames = [spark.read.parquet(f"{path}/{kind}={n}").withColumn("_part", F.lit(n)) for kind, n in live]
+    if len(frames) == 1 and live[0][0] == "base":
+        return frames[0].drop("_part")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return first_per_key(rows, keys, [F.col("_part").desc()]).drop("_part")
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str] = KEY) -> int | None:
+    """Fold all live parts into a base with the last part's number."""
+    live = _live(spark, path)
+    rows = current(spark, path, keys)
+    if rows is None:
+        return None
+    rows.write.mode("overwrite").parquet(f"{path}/base={live[-1][1]}")
+    return live[-1][1]
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
-    version = latest_version(spark, path)
-    return None if version is None else spark.read.parquet(f"{path}/{VERSION}={version}")
+def upsert_analyses(new: DataFrame, path: str, number: int | None = None) -> DataFrame:
+    """Add records, a new one replacing the stored one of its id; returns the current table."""
+    append(A.latest(new), path, number)
+    table = current(new.sparkSession, path)
+    assert table is not None
+    return table
 
 
-def write_version(df: DataFrame, path: str, version: int | None = None) -> int:
-    """Write a full new version beside the old one; readers switch when it is committed."""
-    if version is None:
-        last = latest_version(df.sparkSession, path)
-        version = 0 if last is None else last + 1
-    df.write.mode("overwrite").parquet(f"{path}/{VERSION}={version}")
-    return version
+def update_index(new: DataFrame, path: str, number: int | None = None) -> int:
+    """Add the slim rows of new records to the index store."""
+    return append(A.to_index(A.latest(new)), path, number)
 
 
-def upsert_analyses(new: DataFrame, path: str, version: int | None = None) -> DataFrame:
-    """Merge records into the stored table and return its new state."""
-    spark = new.sparkSession
-    existing = read_latest(spark, path)
-    merged = A.latest(new) if existing is None else A.upsert_latest(existing, new)
-    written = write_version(merged, path, version)
-    return spark.read.parquet(f"{path}/{VERSION}={written}")
+def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """Index in index order."""
+    rows = current(spark, path)
+    return None if rows is None else rows.orderBy(*A.newest_first())
 
 
-def write_index(analyses: DataFrame, path: str) -> int:
-    """Slim index derived from the records, in index order."""
-    return write_version(A.to_index(analyses).orderBy(*A.newest_first()), path)
+def write_index(analyses: DataFrame, path: str) -> None:
+    """Rebuild the whole index as one base part."""
+    spark = analyses.sparkSession
+    live = _live(spark, path)
+    number = live[-1][1] + 1 if live else 0
+    A.to_index(analyses).orderBy(*A.newest_first()).write.mode("overwrite").parquet(f"{path}/base={number}")
 
 
 def write_json_records(payload: DataFrame, path: str) -> None:
@@ -66,22 +105,22 @@ def write_json_records(payload: DataFrame, path: str) -> None:
     A.payload_json(payload).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_snapshot(current: DataFrame, path: str, keys: Sequence[str], kind: str) -> DataFrame:
+def write_snapshot(state: DataFrame, path: str, keys: Sequence[str], kind: str) -> DataFrame:
     """Write the rows that changed since the last snapshot and return the summary.
 
-    The folder of a kind holds the full state by version for the next comparison and
-    the changed rows as JSON.
+    The folder of a kind holds the full state for the next comparison and the changed
+    rows as JSON, both under the number of the snapshot.
     """
-    spark = current.sparkSession
-    state_path = f"{path}/{kind}/state"
-    previous = read_latest(spark, state_path)
-    compared = archive.compare(current, current.limit(0) if previous is None else previous, keys)
-    version = latest_version(spark, state_path)
-    number = 0 if version is None else version + 1
-    compared.where("changed").drop("changed").write.mode("overwrite").json(f"{path}/{kind}/changes/{VERSION}={number}")
-    summary = archive.snapshot_summary(compared.withColumn("kind", F.lit(kind)))
-    write_version(current, state_path, number)
-    return summary
+    spark = state.sparkSession
+    states = f"{path}/{kind}/state"
+    last = max(parts(spark, states)["base"], default=None)
+    previous = state.limit(0) if last is None else spark.read.parquet(f"{states}/base={last}")
+    number = 0 if last is None else last + 1
+    state.write.mode("overwrite").parquet(f"{states}/base={number}")
+    written = spark.read.parquet(f"{states}/base={number}")
+    compared = archive.compare(written, previous, keys)
+    compared.where("changed").drop("changed").write.mode("overwrite").json(f"{path}/{kind}/changes/{number}")
+    return archive.snapshot_summary(compared.withColumn("kind", F.lit(kind)))
 
 
 def write_digest(lines: DataFrame, path: str) -> None:
@@ -89,10 +128,3 @@ def write_digest(lines: DataFrame, path: str) -> None:
     ordered = lines.orderBy("part", "first_pos", "pos")
     ordered.select(F.col("html").alias("value")).write.mode("overwrite").text(path)
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0)
-    except AnalysisException:
-        return False
-    return True
