@@ -202,7 +202,18 @@ def block_figures(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("capped_figures", f"WITH {CAPS} SELECT doc_id, \"order\", label FROM caps WHERE \"order\" < 8")
 def capped_figures(spark: SparkSession, sf: str) -> DataFrame:
-    return G.cap_figures(G.block_captions(view(spark, sf, "blocks")), "doc_id").select("doc_id", "order", "label")
+    return G.block_captions(view(spark, sf, "blocks"), G.MAX_FIGURES).select("doc_id", "order", "label")
+
+
+@query(
+    "folded_figures",
+    f"WITH {CAPS} SELECT doc_id, string_agg(label || '=' || caption, '|' ORDER BY \"order\") AS figures FROM caps "
+    "WHERE \"order\" < 8 GROUP BY doc_id",
+)
+def folded_figures(spark: SparkSession, sf: str) -> DataFrame:
+    rows = G.block_figure_arrays(view(spark, sf, "blocks"))
+    pairs = F.transform("figures", lambda f: F.concat(f["label"], F.lit("="), f["caption"]))
+    return rows.select("doc_id", F.array_join(pairs, "|").alias("figures"))
 
 
 @query(

@@ -71,16 +71,21 @@ def legacy_figure(figures: Column) -> Column:
     return F.coalesce(F.get(method, 0), F.get(figures, 0))
 
 
-def block_captions(blocks: DataFrame) -> DataFrame:
+def block_captions(blocks: DataFrame, cap: int | None = None) -> DataFrame:
     """Captions among text blocks, the first per page and number, numbered per document.
 
-    `blocks` has ``doc_id, page, y0, text``.  Numbering goes by page and height and is
-    done page by page.
+    `blocks` has ``doc_id, page, y0, text``.  Numbering goes by page and height.  With
+    `cap` only the first captions of a document are kept, which needs one pass; without
+    it all are numbered page by page, which reads the blocks twice.
     """
     trimmed = blocks.select("doc_id", "page", "y0", strip(F.col("text")).alias("text"))
     named = compute_once(trimmed, "num", html.caption_number(F.col("text"))).where(F.col("num").isNotNull())
     first = first_per_key(named, ["doc_id", "page", "num"], [F.col("y0"), F.col("text")])
-    numbered = number_within(first, ["doc_id"], "page", [F.col("y0"), F.col("num")], "order")
+    if cap is None:
+        numbered = number_within(first, ["doc_id"], "page", [F.col("y0"), F.col("num")], "order")
+    else:
+        top = top_per_group(first, ["doc_id"], [F.col("page"), F.col("y0"), F.col("num")], cap)
+        numbered = top.withColumn("order", F.col("rank") - 1)
     return numbered.select(
         "doc_id",
         "page",
@@ -114,14 +119,20 @@ def block_references(blocks: DataFrame) -> DataFrame:
     return joined.select("doc_id", "num", F.substring(text, 1, html.MAX_REFERENCE_CHARS).alias("reference_text"))
 
 
-def block_figures(blocks: DataFrame) -> DataFrame:
+def block_figures(blocks: DataFrame, cap: int | None = None) -> DataFrame:
     """Captions with what the document says about them."""
     refs = block_references(blocks)
-    return block_captions(blocks).join(refs, ["doc_id", "num"], "left").withColumn(
+    return block_captions(blocks, cap).join(refs, ["doc_id", "num"], "left").withColumn(
         "reference_text", F.coalesce("reference_text", F.lit(""))
     )
 
 
+def block_figure_arrays(blocks: DataFrame, cap: int = MAX_FIGURES) -> DataFrame:
+    """``(doc_id, figures)`` in the shape page figures have; blocks carry no image address."""
+    rows = block_figures(blocks, cap).withColumn("url", F.lit(""))
+    return fold_figures(rows, "doc_id", cap)
+
+
 def cap_figures(figures: DataFrame, key: str, cap: int = MAX_FIGURES) -> DataFrame:
     """First `cap` figure rows per paper."""
     return top_per_group(figures, [key], [F.col("order")], cap, "_n").drop("_n")

@@ -64,10 +64,12 @@ def analyse(
     pages: DataFrame | None = None,
     other_texts: DataFrame | None = None,
     replies: Mapping[str, DataFrame] | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Full records for selected papers.
 
-    `pages` has ``arxiv_id, url, html``.  `replies` maps a step (core, profile,
+    `pages` has ``arxiv_id, url, html``; `blocks` has ``arxiv_id, page, y0, text`` and
+    gives figures to papers whose page has none.  `replies` maps a step (core, profile,
     questions, answer, findings, brief, note, translate) to its reply table; a step
     without one uses its rule.
     """
@@ -92,6 +94,14 @@ def analyse(
             .withColumn("figures", F.coalesce("figures", F.array().cast(fig_type)))
             .drop("_page", "_other")
         )
+    if blocks is not None:
+        wanted_blocks = blocks.join(selected.select("arxiv_id"), "arxiv_id", "left_semi")
+        found = figures.block_figure_arrays(wanted_blocks.withColumnRenamed("arxiv_id", "doc_id"))
+        rows = (
+            rows.join(found.select(F.col("doc_id").alias("arxiv_id"), F.col("figures").alias("_found")), "arxiv_id", "left")
+            .withColumn("figures", F.when(F.size("figures") > 0, F.col("figures")).otherwise(F.coalesce("_found", "figures")))
+            .drop("_found")
+        )
     rows = R.core(rows, have.get("core"))
     rows = R.interest_profiles(rows, have.get("profile"), conf.topics)
     rows = R.questions(rows, have.get("questions"))

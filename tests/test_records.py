@@ -346,3 +346,49 @@ def test_block_figures(spark):
         (0, 0, "Figure 1", "First part"), (1, 0, "Figure 2", "Second"), (2, 1, "Figure 1", "next page"),
     ]
     assert [bool(r.reference_text) for r in got] == [True, False, True]
+
+
+def test_blocks_give_figures_where_a_page_has_none(spark):
+    conf = TriageConfig(topics=(Topic("t0", include=("alpha",)),), days_back=999, pass_threshold=0)
+    rows = [(i, "alpha", "alpha.", ["a"], [], ["cs"], T0, T0, "u", None, None) for i in ("p", "q", "r")]
+    chosen = triage.select(spark.createDataFrame(rows, SCHEMA), conf, NOW)
+    pages = spark.createDataFrame([("p", "http://h/x", PAGE)], "arxiv_id string, url string, html string")
+    blocks = spark.createDataFrame(
+        [(i, 0, float(n), f"Figure {n}: c{n}") for i in ("p", "q") for n in range(1, 11)],
+        "arxiv_id string, page int, y0 double, text string",
+    )
+    stages = {f"fig_{i}": "problem" for i in range(9)}
+    core = spark.createDataFrame([(i, json.dumps({"figure_assignments": stages})) for i in "pqr"], "arxiv_id string, reply string")
+    done = triage.analyse(chosen, conf, pages, None, {"core": core}, blocks)
+    got = {r.arxiv_id: [f.caption for f in r.figures] for r in done.collect()}
+    assert got == {"p": ["Figure 1: Overview"], "q": [f"c{n}" for n in range(1, 9)], "r": []}
+    assert {r.body for r in done.collect()} == {"alpha.", "As Figure 1 shows, alpha drives the whole of the pipeline here.\n\nFigure 1: Overview"}
+
+
+def test_date_filters_reach_the_scan(spark):
+    from paperloom.operators import candidates as C
+
+    path = shared_dir(spark, "papers")
+    rows = [("p", "alpha", "alpha", ["a"], [], ["cs"], T0, T0, "u", None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    table = spark.read.parquet(path)
+    for df in (C.recent(table, NOW, 7), C.window_candidates(table, T0, NOW, 7)):
+        narrow = C.topic_candidates(df, (Topic("t", include=("alpha",)),)).select("arxiv_id", "topic_idx")
+        plan = narrow._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(published" in plan
+        read = plan[plan.index("ReadSchema") :]
+        assert "pdf_url" not in read and "abstract" in read
+        assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_hot_groups_are_cut_before_the_shuffle(spark):
+    from paperloom.operators import candidates as C
+
+    rows = spark.createDataFrame([("p", "x", "x", ["a"], [], ["cs"], T0, T0, "u", None, None)], SCHEMA)
+    found = C.top_recent(C.single_window(C.topic_candidates(rows, (Topic("t", include=("x",)),))), 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    first_exchange = plan.rindex("Exchange hashpartitioning")
+    assert "WindowGroupLimit" in plan[first_exchange:] and "Partial" in plan[first_exchange:]
+    latest = A.latest(rows.select("arxiv_id", F.lit("1").alias("generated_at")))
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan[plan.rindex("Exchange hashpartitioning") :]
