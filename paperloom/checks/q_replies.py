@@ -360,6 +360,54 @@ def prompt_findings(spark: SparkSession, sf: str) -> DataFrame:
     return P.findings(rows.withColumn("findings", made)).select("arxiv_id", F.col("user").alias("prompt"))
 
 
+@query(
+    "prompt_brief",
+    f"""
+WITH {CORE_DOC}, f AS (SELECT c.*, {CORE_FIELDS} FROM c)
+SELECT arxiv_id, CASE WHEN doc IS NULL THEN json_object('paper_title', title, 'paper_abstract', abstract,
+    'key_findings', '- Q: why' || chr(10) || '  A: ' || source)::VARCHAR
+  ELSE json_object('paper_title', title, 'paper_abstract', abstract, 'core_summary', json_object('problem', problem, 'solution', solution,
+    'methodology', methodology, 'experiments', experiments, 'conclusion', conclusion), 'key_findings', '- Q: why' || chr(10) || '  A: ' || source)::VARCHAR
+  END AS prompt FROM f""",
+)
+def prompt_brief(spark: SparkSession, sf: str) -> DataFrame:
+    return P.brief(_asked(spark, sf)).select("arxiv_id", F.col("user").alias("prompt"))
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    source = view(spark, sf, "papers").select("arxiv_id", "source")
+    found = F.array(F.struct(F.lit("why").alias("question"), F.col("source").alias("answer")))
+    return _cored(spark, sf).join(source, "arxiv_id").withColumn("findings", found)
+
+
+@query(
+    "prompt_note",
+    f"""
+WITH {CORE_DOC}, f AS (SELECT c.*, {CORE_FIELDS} FROM c)
+SELECT arxiv_id, CASE WHEN doc IS NULL THEN json_object('interests', source, 'profile', json_object('summary', source, 'research_questions', [],
+    'must_have_keywords', [], 'anti_keywords', []), 'paper_title', title, 'paper_abstract', abstract, 'brief_summary', 'b')::VARCHAR
+  ELSE json_object('interests', source, 'profile', json_object('summary', source, 'research_questions', [], 'must_have_keywords', [],
+    'anti_keywords', []), 'paper_title', title, 'paper_abstract', abstract, 'brief_summary', 'b',
+    'core_summary', json_object('problem', problem, 'solution', solution, 'methodology', methodology))::VARCHAR END AS prompt FROM f""",
+)
+def prompt_note(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _asked(spark, sf).withColumn("interest_prompt", F.col("source")).withColumn("brief_summary", F.lit("b"))
+    return P.note(R.interest_profiles(rows)).select("arxiv_id", F.col("user").alias("prompt"))
+
+
+@query(
+    "prompt_tasks",
+    """
+SELECT arxiv_id, topic_idx, json_object('user_interest', interest_prompt, 'paper_title', title, 'paper_abstract', abstract, 'max_items', 5)::VARCHAR
+  AS prompt FROM {cand}""",
+)
+def prompt_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = C.with_topics(C.topic_candidates(papers(spark, sf), TOPICS), TOPICS)
+    keyed = rows.withColumn("arxiv_id", F.concat_ws("#", "arxiv_id", "topic_idx"))
+    made = P.tasks(keyed).select(F.split("arxiv_id", "#").alias("k"), F.col("user").alias("prompt"))
+    return made.select(F.col("k")[0].alias("arxiv_id"), F.col("k")[1].cast("int").alias("topic_idx"), "prompt")
+
+
 @query(
     "prompt_translate",
     f"""

@@ -228,6 +228,14 @@ def id_canonical(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "fetch_one",
+    "SELECT arxiv_id, title FROM {papers} WHERE arxiv_id = '1000.00007'",
+)
+def fetch_one(spark: SparkSession, sf: str) -> DataFrame:
+    return C.fetch_one(papers(spark, sf), " 1000.00007v3 ").select("arxiv_id", "title")
+
+
 @query(
     "ingest_triage",
     r"""

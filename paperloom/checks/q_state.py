@@ -253,6 +253,41 @@ def stream_star_state(spark: SparkSession, sf: str) -> DataFrame:
     return stream_state.star_state(spark, out).select("arxiv_id", _text("starred_at"), "topic", "note")
 
 
+@query(
+    "stream_hides",
+    f"WITH {STATES} SELECT arxiv_id, strftime(hidden_at, '%Y-%m-%d %H:%M:%S.%f') AS hidden_at FROM hidden",
+)
+def stream_hides(spark: SparkSession, sf: str) -> DataFrame:
+    events = view(spark, sf, "state_events")
+    out, ck = shared_dir(spark, "hides"), shared_dir(spark, "checkpoint")
+    stream = stream_feed.file_stream(spark, _landed(events, spark, "ts", 3), events.schema, 1)
+    stream_feed.run_until_done(stream_state.run_hide_stream(stream, out, ck))
+    return stream_state.hide_state(spark, out).select("arxiv_id", _text("hidden_at"))
+
+
+@query(
+    "stream_annotations",
+    f"WITH {NOTES} SELECT arxiv_id, note_id, stage, quote, note, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM notes",
+)
+def stream_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    events = view(spark, sf, "note_events")
+    out, ck = shared_dir(spark, "notes"), shared_dir(spark, "checkpoint")
+    stream = stream_feed.file_stream(spark, _landed(events, spark, "ts", 3), events.schema, 1)
+    stream_feed.run_until_done(stream_state.run_note_stream(stream, out, ck))
+    return stream_state.annotation_state(spark, out).select(
+        "arxiv_id", "note_id", "stage", "quote", "note", _text("created_at")
+    )
+
+
+@query("stream_chats", f"WITH {HISTORY} SELECT arxiv_id, seq, role, content FROM hist")
+def stream_chats(spark: SparkSession, sf: str) -> DataFrame:
+    turns = view(spark, sf, "chat_turns").withColumn("role", F.regexp_replace("role", "^system$", "clear"))
+    out, ck = shared_dir(spark, "chats"), shared_dir(spark, "checkpoint")
+    stream = stream_feed.file_stream(spark, _landed(turns, spark, "seq", 2), turns.schema, 1)
+    stream_feed.run_until_done(stream_state.run_chat_stream(stream, out, ck))
+    return stream_state.chat_history(spark, out)
+
+
 @query("stream_within_watermark", "SELECT DISTINCT arxiv_id FROM {state_events}")
 def stream_within_watermark(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")

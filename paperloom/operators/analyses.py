@@ -155,6 +155,12 @@ def to_index(analyses: DataFrame) -> DataFrame:
     )
 
 
+def get_analysis(analyses: DataFrame, paper_id: str, topic: str | None = None) -> DataFrame:
+    """One record by id; none when it belongs to another topic than asked for."""
+    rows = analyses.where(F.col("arxiv_id") == paper_id)
+    return rows.where(F.col("topic") == topic) if topic else rows
+
+
 def newest_first() -> list[Column]:
     return [F.coalesce("generated_at", F.lit("")).desc(), F.coalesce("arxiv_id", F.lit("")).desc()]
 

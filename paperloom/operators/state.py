@@ -78,19 +78,6 @@ def present(deltas: DataFrame) -> DataFrame:
     return deltas.where(F.col("puts") > 0).drop("starts", "puts")
 
 
-def fold(
-    events: DataFrame, keys: Sequence[str], drop: Column, replace: Column, keep_last: Sequence[str]
-) -> DataFrame:
-    """Current rows by key from events ``(keys, ts, event_id, ...)``.
-
-    `drop` events delete the key.  `replace` events start it afresh.  Others upsert:
-    ``first_ts`` is the time of the first upsert of the current life and the
-    `keep_last` columns hold their last non-null value.  Events at one time apply by
-    event_id.
-    """
-    return present(combine(slice_deltas(events, keys, drop, replace, keep_last), keys, "slice", keep_last))
-
-
 STAR_FIELDS = ("topic", "note")
 
 
@@ -112,20 +99,25 @@ def star_state(events: DataFrame) -> DataFrame:
     return present(star_deltas(events)).withColumnRenamed("first_ts", "starred_at")
 
 
-def hide_state(events: DataFrame) -> DataFrame:
-    """Hidden papers with the time of the last ``hide``; the latest event decides.
+def hide_deltas(events: DataFrame) -> DataFrame:
+    """Latest hide or unhide per paper: ``(arxiv_id, hidden, hidden_at)``.
 
-    Two combinable aggregates, so no event list is ever gathered.
+    Combinable aggregates, so no event list is ever gathered.
     """
-    op = F.col("op")
-    at = F.struct("ts", "event_id")
-    return (
-        events.where(op.isin("hide", "unhide"))
-        .groupBy("arxiv_id")
-        .agg(F.max_by("op", at).alias("_op"), F.max("ts").alias("hidden_at"))
-        .where(F.col("_op") == "hide")
-        .drop("_op")
-    )
+    last = F.max_by(F.struct("op", "ts"), F.struct("ts", "event_id")).alias("e")
+    latest = events.where(F.col("op").isin("hide", "unhide")).groupBy("arxiv_id").agg(last)
+    return latest.select("arxiv_id", (F.col("e.op") == "hide").alias("hidden"), F.col("e.ts").alias("hidden_at"))
+
+
+def combine_hides(deltas: DataFrame, by: str) -> DataFrame:
+    """Hidden papers out of several deltas; the last one decides."""
+    last = F.max_by(F.struct("hidden", "hidden_at"), by).alias("e")
+    return deltas.groupBy("arxiv_id").agg(last).where("e.hidden").select("arxiv_id", "e.hidden_at")
+
+
+def hide_state(events: DataFrame) -> DataFrame:
+    """Hidden papers with the time of the last ``hide``; the latest event decides."""
+    return hide_deltas(events).where("hidden").drop("hidden")
 
 
 def note_problem() -> Column:
@@ -152,14 +144,20 @@ def rejected_notes(events: DataFrame) -> DataFrame:
     return events.withColumn("reason", note_problem()).where(F.col("reason").isNotNull())
 
 
+NOTE_KEY = ("arxiv_id", "note_id")
+NOTE_FIELDS = ("stage", "quote", "note", "updated_at")
+
+
+def note_deltas(events: DataFrame) -> DataFrame:
+    """One delta per note from accepted events."""
+    staged = valid_notes(events).withColumn("updated_at", F.col("ts"))
+    slices = slice_deltas(staged, NOTE_KEY, F.col("op") == "delete", F.lit(False), NOTE_FIELDS)
+    return combine(slices, NOTE_KEY, "slice", NOTE_FIELDS)
+
+
 def annotation_state(events: DataFrame) -> DataFrame:
     """Notes per (paper, note): creation time survives updates, a delete forgets it."""
-    op = F.col("op")
-    staged = valid_notes(events).withColumn("updated_at", F.col("ts"))
-    state = fold(
-        staged, ["arxiv_id", "note_id"], op == "delete", F.lit(False), ["stage", "quote", "note", "updated_at"]
-    )
-    return state.withColumnRenamed("first_ts", "created_at")
+    return present(note_deltas(events)).withColumnRenamed("first_ts", "created_at")
 
 
 def newest_notes(notes: DataFrame) -> DataFrame:

@@ -22,15 +22,18 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-#: Rows a bounded side may have before it is joined by shuffle instead of broadcast.
-BROADCAST_ROW_LIMIT = 200_000
+#: Settings that can only be given when a session starts.
+STARTUP = {
+    # no call-site capture for every column expression; plans here have thousands
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 
 
 def build_session(app_name: str = "paperloom", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**STARTUP, **SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -1,23 +1,39 @@
-"""User state kept up to date from an event stream.
+"""User state kept up to date from event streams.
 
 Each micro-batch folds its own events to one small row per key and appends it.  The
 current state is the fold of those rows in batch order, so a batch costs what arrived
-and not what is stored.
+and not what is stored.  A batch that runs again replaces its own folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paperloom.operators.state import STAR_FIELDS, combine, present, star_deltas
+from paperloom.operators import chats
+from paperloom.operators.state import (
+    NOTE_FIELDS,
+    NOTE_KEY,
+    STAR_FIELDS,
+    combine,
+    combine_hides,
+    hide_deltas,
+    note_deltas,
+    present,
+    star_deltas,
+)
 from paperloom.streaming.feed import BATCH, append_once
 
-def run_star_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append one delta per touched paper and micro-batch, then stop."""
+
+def run_delta_stream(
+    events: DataFrame, out: str, checkpoint: str, deltas: Callable[[DataFrame], DataFrame]
+) -> StreamingQuery:
+    """Append the deltas of every micro-batch that is due, then stop."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        append_once(star_deltas(batch), out, batch_id)
+        append_once(deltas(batch), out, batch_id)
 
     return (
         events.writeStream.foreachBatch(handle)
@@ -27,20 +43,43 @@ def run_star_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQu
     )
 
 
+def run_star_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    return run_delta_stream(events, out, checkpoint, star_deltas)
+
+
+def run_hide_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    return run_delta_stream(events, out, checkpoint, hide_deltas)
+
+
+def run_note_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    return run_delta_stream(events, out, checkpoint, note_deltas)
+
+
+def run_chat_stream(turns: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append turns as they arrive; rows with the role ``clear`` mark where a history restarts."""
+    return run_delta_stream(turns, out, checkpoint, lambda batch: batch)
+
+
 def star_state(spark: SparkSession, out: str) -> DataFrame:
-    """Current stars from all deltas."""
     whole = combine(spark.read.parquet(out), ["arxiv_id"], BATCH, STAR_FIELDS)
     return present(whole).withColumnRenamed("first_ts", "starred_at")
 
 
-def compact(spark: SparkSession, out: str, target: str) -> None:
-    """Fold all deltas to one row per key, to start a fresh delta folder from."""
-    state = star_state(spark, out).select(
-        "arxiv_id",
-        F.lit(True).alias("starts"),
-        F.lit(1).cast("bigint").alias("puts"),
-        F.col("starred_at").alias("first_ts"),
-        "topic",
-        "note",
-    )
-    append_once(state, target, -1)
+def hide_state(spark: SparkSession, out: str) -> DataFrame:
+    return combine_hides(spark.read.parquet(out), BATCH)
+
+
+def annotation_state(spark: SparkSession, out: str) -> DataFrame:
+    whole = combine(spark.read.parquet(out), NOTE_KEY, BATCH, NOTE_FIELDS)
+    return present(whole).withColumnRenamed("first_ts", "created_at")
+
+
+def chat_history(spark: SparkSession, out: str) -> DataFrame:
+    rows = spark.read.parquet(out).drop(BATCH)
+    return chats.turn_messages(chats.after_last_clear(rows, rows.where("role = 'clear'").select("arxiv_id", "seq")))
+
+
+def compact(spark: SparkSession, out: str, target: str, keys: Sequence[str], fields: Sequence[str]) -> None:
+    """Fold the deltas of a star or note stream to one row per key, as the start of a new folder."""
+    whole = combine(spark.read.parquet(out), keys, BATCH, fields)
+    append_once(whole.where(F.col("puts") > 0).withColumn("starts", F.lit(True)), target, -1)

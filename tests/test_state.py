@@ -128,10 +128,39 @@ def test_streamed_stars_equal_replay(spark):
     assert got == want
     # compacted deltas give the same state and more events may follow
     target = shared_dir(spark, "compact")
-    SS.compact(spark, out, target)
+    SS.compact(spark, out, target, ["arxiv_id"], state.STAR_FIELDS)
     assert {r.arxiv_id: (r.starred_at, r.topic, r.note) for r in SS.star_state(spark, target).collect()} == want
 
 
+def test_streamed_hides_notes_and_chats(spark):
+    rows = sorted(star_events(6), key=lambda r: (r[1], r[0]))
+    landing, out, ck = (shared_dir(spark, n) for n in ("landing", "hides", "ck"))
+    for i in range(0, len(rows), 90):
+        spark.createDataFrame(rows[i : i + 90], EVENTS).coalesce(1).write.mode("append").parquet(landing)
+    SF.run_until_done(SS.run_hide_stream(SF.file_stream(spark, landing, EVENTS, 1), out, ck))
+    assert {r.arxiv_id: r.hidden_at for r in SS.hide_state(spark, out).collect()} == replay_hidden(rows)
+
+    at = lambda m: T0 + timedelta(minutes=m)
+    notes = [
+        [(1, at(0), "p", "1", "upsert", "qa", "q", "a"), (2, at(1), "p", "2", "upsert", "qa", "q", "b")],
+        [(3, at(2), "p", "1", "upsert", "brief", "q2", "c"), (4, at(3), "p", "2", "delete", None, None, None)],
+        [(5, at(4), "p", "2", "upsert", "qa", "again", ""), (6, at(5), "p", "3", "upsert", "bad", "q", "")],
+    ]
+    landing, out, ck = (shared_dir(spark, n) for n in ("landing", "notes", "ck"))
+    for rows in notes:
+        spark.createDataFrame(rows, NOTES).coalesce(1).write.mode("append").parquet(landing)
+    SF.run_until_done(SS.run_note_stream(SF.file_stream(spark, landing, NOTES, 1), out, ck))
+    got = {r.note_id: (r.created_at, r.updated_at, r.stage, r.quote) for r in SS.annotation_state(spark, out).collect()}
+    assert got == {"1": (at(0), at(2), "brief", "q2"), "2": (at(4), at(4), "qa", "again")}
+
+    schema = "arxiv_id string, seq bigint, role string, content string"
+    landing, out, ck = (shared_dir(spark, n) for n in ("landing", "chats", "ck"))
+    for rows in ([("p", 0, "user", "old")], [("p", 1, "clear", ""), ("p", 2, "user", "new")], [("p", 3, "assistant", "")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+    SF.run_until_done(SS.run_chat_stream(SF.file_stream(spark, landing, schema, 1), out, ck))
+    assert [r.content for r in SS.chat_history(spark, out).collect()] == ["new"]
+
+
 def test_incremental_run_handles_a_key_once_and_resumes(spark):
     landing, out, ck = (shared_dir(spark, n) for n in ("landing", "inc", "ck"))
     schema = "arxiv_id string, n int"
