@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.checks.inputs import BACKFILL, CONF, RUN_TS, START, END, TOPICS, papers, view
+from paperloom.checks.inputs import BACKFILL, CONF, RUN_TS, TOPICS, papers, view
 from paperloom.checks.registry import query
 from paperloom.config import TriageConfig
 from paperloom.functions import dates, ids
@@ -272,5 +272,3 @@ def dispatched_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
     return rows.select("arxiv_id", "topic", (F.col("scores")[0]["value"] * 100.0).alias("alignment"))
 
-
-assert (START, END) == BACKFILL[:2]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -96,16 +97,16 @@ def assign_with_limit(candidates: DataFrame, conf: TriageConfig, limit: int, n_w
     spark = candidates.sparkSession
     ensure_checkpoint_dir(spark)
     scored = score_candidates(candidates, conf).checkpoint()
-    taken: DataFrame | None = None
+    chosen: list[DataFrame] = []
     for window in range(n_windows):
         for topic in range(len(conf.topics)):
             step = scored.where((F.col("window_idx") == window) & (F.col("topic_idx") == topic))
-            if taken is not None:
-                step = step.join(taken.select("arxiv_id"), "arxiv_id", "left_anti").select(scored.columns)
+            if chosen:
+                taken = reduce(DataFrame.union, [c.select("arxiv_id") for c in chosen])
+                step = step.join(taken, "arxiv_id", "left_anti").select(scored.columns)
             head = step.orderBy(F.col("published").desc(), F.col("arxiv_id")).limit(limit)
-            chosen = passing(head, conf.pass_threshold)
-            taken = chosen.checkpoint() if taken is None else taken.unionByName(chosen).checkpoint()
-    return taken if taken is not None else scored.limit(0)
+            chosen.append(passing(head, conf.pass_threshold).checkpoint())
+    return reduce(DataFrame.union, chosen) if chosen else scored.limit(0)
 
 
 def preview(candidates: DataFrame) -> DataFrame:

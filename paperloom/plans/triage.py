@@ -11,6 +11,7 @@ from paperloom.config import Topic, TriageConfig
 from paperloom.operators import analyses as A
 from paperloom.operators import candidates as C
 from paperloom.operators import digest, figures, intake, replies as R, selection as S
+from paperloom.session import counted, materialise
 from paperloom.sources import sinks
 
 
@@ -75,6 +76,9 @@ def analyse(
     """
     spark = selected.sparkSession
     have = dict(replies or {})
+    # matching and scoring all papers happens once; below, only what was selected is read
+    selected = materialise(selected, "selected")
+    chosen = counted(selected.select("arxiv_id").distinct())
     none = spark.createDataFrame([], "arxiv_id string, text string")
     fig_type = "array<struct<order:int,label:string,caption:string,url:string,reference_text:string>>"
     if pages is None:
@@ -82,7 +86,7 @@ def analyse(
         rows = rows.withColumn("figures", F.array().cast(fig_type))
     else:
         # text and figures in one pass over the HTML, only for selected papers
-        wanted = pages.join(selected.select("arxiv_id"), "arxiv_id", "left_semi")
+        wanted = pages.join(chosen, "arxiv_id", "left_semi")
         read = figures.with_figures(figures.page_text(wanted, conf.page_chars)).select(
             "arxiv_id", F.col("body").alias("text"), "figures"
         )
@@ -95,7 +99,7 @@ def analyse(
             .drop("_page", "_other")
         )
     if blocks is not None:
-        wanted_blocks = blocks.join(selected.select("arxiv_id"), "arxiv_id", "left_semi")
+        wanted_blocks = blocks.join(chosen, "arxiv_id", "left_semi")
         found = figures.block_figure_arrays(wanted_blocks.withColumnRenamed("arxiv_id", "doc_id"))
         rows = (
             rows.join(found.select(F.col("doc_id").alias("arxiv_id"), F.col("figures").alias("_found")), "arxiv_id", "left")
@@ -138,6 +142,8 @@ def dispatched(
     asked = todo.withColumn("topic_idx", intake.resolve_topic(F.col("topic"), topics)).groupBy("arxiv_id").agg(
         F.min_by("topic_idx", "sub_id").alias("topic_idx")
     )
+    # few submissions meet all papers, so they go to the papers and not the other way
+    asked = counted(materialise(asked, "asked"))
     return S.score_candidates(C.single_window(papers.join(asked, "arxiv_id")), conf)
 
 

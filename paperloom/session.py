@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Settings the jobs rely on.  Cluster sizing (executors, memory, shuffle
 #: partitions) stays with spark-submit; AQE coalesces and splits from there.
@@ -53,6 +53,25 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Rows of an id list that may be broadcast; a longer one is joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back.
+
+    Cuts the lineage, so several uses compute it once, and survives lost executors.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def counted(ids: DataFrame) -> DataFrame:
+    """Mark a materialised id list for broadcast if it is short enough, by its row count."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable, keeping a folder that is already set."""
     if spark.sparkContext.getCheckpointDir() is None:
