@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, functions as F
 
 # Accepted date formats and the compact bound format.
@@ -9,6 +11,11 @@ DATE_FORMATS = ("yyyy-M-d", "yyyy-M-d'T'H:m", "yyyy-M-d'T'H:m:s")
 COMPACT_FORMAT = "yyyyMMddHHmm"
 
 
+def instant(moment: datetime) -> Column:
+    """A driver-side time as a literal, read in the session's time zone (UTC)."""
+    return F.lit(f"{moment:%Y-%m-%d %H:%M:%S.%f}").cast("timestamp")
+
+
 def tolerant_timestamp(text: Column, default: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text), default)
 
@@ -46,6 +53,30 @@ def split_windows(start: Column, end: Column, days: int) -> Column:
     )
 
 
+def windows_at(ts: Column, start: datetime, end: datetime, days: int) -> Column:
+    """Array of the windows of `split_windows` that hold a time between `start` and `end`.
+
+    Both ends of a window count, so a time on a shared bound is in two.  Found by
+    arithmetic: a row does the same work however many windows there are.
+    """
+    micro = timedelta(microseconds=1)
+    step = timedelta(days=max(1, int(days)))
+    last = max(0, -((start - end) // step) - 1)
+    offset = F.unix_micros(ts) - F.unix_micros(instant(start))
+    rest = F.pmod(offset, F.lit(step // micro))
+    index = ((offset - rest) / F.lit(step // micro)).cast("int")
+    hits = F.array_compact(F.array(F.when((rest == 0) & (index > 0), index - 1), F.when(index <= last, index)))
+    width = F.make_dt_interval(days=F.lit(step.days))
+    return F.transform(
+        hits,
+        lambda i: F.struct(
+            i.alias("window_idx"),
+            (instant(start) + width * i).alias("win_start"),
+            F.least(instant(start) + width * (i + 1), instant(end)).alias("win_end"),
+        ),
+    )
+
+
 def range_label(start: Column, end: Column) -> Column:
     return (
         F.when(start.isNull() | end.isNull(), F.lit(""))

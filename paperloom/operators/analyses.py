@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions import scoring
 from paperloom.functions.bilingual import bi, pick
+from paperloom.functions.dates import instant
 from paperloom.functions.text import filled, strip
 from paperloom.operators.figures import legacy_figure
 from paperloom.operators.prompts import ASPECTS
@@ -114,7 +115,7 @@ def to_payload(
         F.col("scores").alias("score_dimensions"),
         (F.col("body") if keep_body else F.lit("")).alias("markdown"),
         F.lit(model).cast("string").alias("model"),
-        F.date_format(F.lit(generated_at), STAMP_FORMAT).alias("generated_at"),
+        F.date_format(instant(generated_at), STAMP_FORMAT).alias("generated_at"),
         *also,
     )
 

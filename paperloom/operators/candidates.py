@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.config import DEFAULT_CATEGORY_SCOPE, Topic, topics_df
-from paperloom.functions.dates import split_windows
+from paperloom.functions.dates import instant, windows_at
 from paperloom.functions.ids import typed_id
 from paperloom.operators.ranking import top_per_group
 from paperloom.operators.shape import explode_rows
@@ -77,23 +77,21 @@ def with_topics(candidates: DataFrame, topics: Sequence[Topic]) -> DataFrame:
 
 
 def recent(papers: DataFrame, run_ts: datetime, days_back: int) -> DataFrame:
-    return papers.where(F.col("published") >= F.lit(run_ts) - F.expr(f"interval {int(days_back)} days"))
+    return papers.where(F.col("published") >= instant(run_ts) - F.expr(f"interval {int(days_back)} days"))
 
 
 def in_window(papers: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Both ends count."""
-    return papers.where(F.col("published").between(F.lit(start), F.lit(end)))
+    return papers.where(F.col("published").between(instant(start), instant(end)))
 
 
 def window_candidates(papers: DataFrame, start: datetime, end: datetime, chunk_days: int) -> DataFrame:
     """One row per paper and fetch window; a paper on a shared bound is in both.
 
-    The window list is a literal and the outer range is a plain filter that reaches
-    the scan.
+    The outer range is a plain filter that reaches the scan.
     """
-    windows = split_windows(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), chunk_days)
     ranged = in_window(papers, start, end)
-    hits = F.filter(windows, lambda w: F.col("published").between(w["win_start"], w["win_end"]))
+    hits = windows_at(F.col("published"), start, end, chunk_days)
     return explode_rows(ranged, hits, "_w").select(*papers.columns, "_w.window_idx", "_w.win_start", "_w.win_end")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.config import Topic, TriageConfig, topics_df
 from paperloom.functions import ids, scoring
-from paperloom.functions.dates import day
+from paperloom.functions.dates import day, instant
 from paperloom.operators.candidates import with_topics
 from paperloom.operators.ranking import first_per_key
 from paperloom.operators.shape import compute_once
@@ -146,7 +146,7 @@ def fill_empty(candidates: DataFrame, topics: Sequence[Topic], run_ts: datetime)
         ("{categories}", F.array_join(cats, ", ")),
     ):
         abstract = F.replace(abstract, F.lit(mark), value)
-    stamp = F.date_format(F.lit(run_ts), "HHmmss")
+    stamp = F.date_format(instant(run_ts), "HHmmss")
     made = {
         "topic_idx": F.col("topic_idx"),
         "window_idx": F.lit(0),
@@ -156,8 +156,8 @@ def fill_empty(candidates: DataFrame, topics: Sequence[Topic], run_ts: datetime)
         "authors": F.array(F.lit(DEMO_AUTHOR)),
         "affiliations": F.array(F.lit(DEMO_AFFILIATION)),
         "categories": cats,
-        "published": F.lit(run_ts),
-        "updated": F.lit(run_ts),
+        "published": instant(run_ts),
+        "updated": instant(run_ts),
         "arxiv_url": ids.abs_url(F.lit("0000.00000")),
     }
     rows = empty.select(

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.functions.dates import range_label
+from paperloom.functions.dates import instant, range_label
 from paperloom.functions.text import filled
 
 WEEK = "interval 7 days"
@@ -16,7 +16,7 @@ TABS = ("all", "weekly", "starred", "hidden")
 def is_this_week(run_ts: datetime) -> Column:
     """Generated within seven days; false for a missing or unreadable time."""
     ts = F.try_to_timestamp("generated_at")
-    return F.coalesce(ts >= F.lit(run_ts).cast("timestamp") - F.expr(WEEK), F.lit(False))
+    return F.coalesce(ts >= instant(run_ts) - F.expr(WEEK), F.lit(False))
 
 
 def this_week(index: DataFrame, run_ts: datetime) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.functions import ids
-from paperloom.functions.dates import tolerant_timestamp
+from paperloom.functions.dates import instant, tolerant_timestamp
 from paperloom.functions.text import strip
 
 # Layout of a feed entry.
@@ -46,7 +46,7 @@ def normalise(entries: DataFrame, run_ts: datetime) -> DataFrame:
     )
     terms = F.filter(F.transform("category", lambda c: c["_term"]), lambda t: F.coalesce(t, F.lit("")) != "")
     paper_id = ids.feed_id(F.col("id"))
-    published = tolerant_timestamp(F.col("published"), F.lit(run_ts).cast("timestamp"))
+    published = tolerant_timestamp(F.col("published"), instant(run_ts))
     return (
         entries.where(F.coalesce("id", F.lit("")) != "")
         .select(

@@ -1,6 +1,6 @@
 """Column functions on hand-made values."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +93,17 @@ def test_windows(one):
     assert split(d(5), d(1), 7) == [(0, d(5), d(1))]
 
 
+@pytest.mark.parametrize("days, span", [(7, 30), (7, 28), (1, 3), (40, 30), (3, 0)])
+def test_windows_by_arithmetic_equal_the_list(spark, days, span):
+    start, end = datetime(2024, 1, 1), datetime(2024, 1, 1) + timedelta(days=span)
+    times = [start + timedelta(hours=h) for h in range(0, span * 24 + 1, 6)] + [start + timedelta(microseconds=1)] * (span > 0)
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp")
+    listed = dates.split_windows(dates.instant(start), dates.instant(end), days)
+    want = F.filter(listed, lambda w: F.col("t").between(w["win_start"], w["win_end"]))
+    rows = df.select("t", want.alias("want"), dates.windows_at(F.col("t"), start, end, days).alias("got")).collect()
+    assert rows and all(r.want and r.want == r.got for r in rows)
+
+
 def test_dates(one):
     now = L(datetime(2024, 5, 1)).cast("timestamp")
     assert one(dates.tolerant_timestamp(L("2024-01-02T03:04:05Z"), now)) == datetime(2024, 1, 2, 3, 4, 5)
