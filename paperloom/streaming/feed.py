@@ -56,9 +56,12 @@ def run_incremental(
         if batch_id > 0:
             done = batches_before(spark, f"{out}/keys", f"{key} {new.schema[key].dataType.simpleString()}", batch_id)
             new = new.join(done.select(key), key, "left_anti").select(batch.columns)
-        rows = step(new)
-        append_once(rows, f"{out}/rows", batch_id)
-        append_once(new.select(key), f"{out}/keys", batch_id)
+        new = new.persist()  # written twice below; lost blocks are computed again
+        try:
+            append_once(step(new), f"{out}/rows", batch_id)
+            append_once(new.select(key), f"{out}/keys", batch_id)
+        finally:
+            new.unpersist()
 
     return (
         stream.writeStream.foreachBatch(handle)
