@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import decontaminate, language_id, mixing, near_dedup, quality_rules, sharding, tokens, url_rules
+from paperloom.llm import chat, decontaminate, language_id, mixing, near_dedup, pii, quality_rules, sharding, tokens, url_rules
 from paperloom.llm.common import read
+from paperloom.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +42,14 @@ def op2_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return language_id.language_id(read(spark, sf_dir, "documents"))
 
 
+# 3: personal data --------------------------------------------------------------------------
+
+
+@query("op3_boosted_pii")
+def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents"))
+
+
 # 4: mixing ---------------------------------------------------------------------------------
 
 MIX_LEVELS = ["domain", "lang", "source"]
@@ -142,6 +151,32 @@ def op7_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read(spark, sf_dir, "pages"), rules)
 
 
+# 8: chat formatting ------------------------------------------------------------------------
+
+_ESCAPED = f"length({{0}}) + len(regexp_extract_all({{0}}, '{chat.CONTROL_PATTERN}'))"
+_TURN = "coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10)"
+_ORDER = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+
+OP8_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT *, {_ESCAPED.format("coalesce(text, '')")} AS n_text, {_ESCAPED.format("coalesce(role, '')")} AS n_role FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg({_TURN}, '' {_ORDER})) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(coalesce(text, ''), '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(CASE WHEN role = 'user' THEN n_text + 15 WHEN role = 'assistant' THEN n_text + 4 ELSE n_text + n_role + 17 END)::BIGINT
+    AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+@query("op8_template_chat", OP8_SQL)
+def op8_template_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.read_conversations(materialise(chat.format_conversations(rows.union(more)), "formatted"))
+
+
 # 9: near duplicates ------------------------------------------------------------------------
 
 
