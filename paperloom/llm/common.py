@@ -100,7 +100,7 @@ def numbered(df: DataFrame, keys: list, weight: str | None, purpose: str, parts:
         inside = F.coalesce(F.sum(weight).over(rows), F.lit(0))
     return (
         ordered.withColumn("_inside", inside)
-        .join(before, F.col("_part") == F.col("_of"))
+        .join(F.broadcast(before), F.col("_part") == F.col("_of"))  # one row per partition
         .withColumn("_start", F.col("_before") + F.col("_inside"))
         .drop("_of", "_before", "_inside")
     )

@@ -20,27 +20,32 @@ _IS_LETTER = np.zeros(0, bool)
 
 
 def _letters(text: str) -> np.ndarray:
-    """Code points of the lower-cased text with every run of other characters as one 0, also at both ends."""
+    """Code points of the lower-cased text, 0 for what is no letter."""
     global _IS_LETTER
     if not len(_IS_LETTER):
         _IS_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.concatenate([[0], np.where(_IS_LETTER[points], points, 0), [0]]).astype(np.int64)
-    return points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
+    return np.where(_IS_LETTER[points], points, 0).astype(np.int64)
 
 
 def ngrams(text: str | None, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams (rows of code points, packed) and their counts; none without a letter."""
-    parts = []
-    text = text or ""
+    """Distinct n-grams (code points, packed) and their counts; none without a letter.
+
+    A run of other characters is one 0, and so are both ends of the text.
+    """
+    text, parts, carried, any_letter = text or "", [], np.zeros(1, np.int64), False
     for at in range(0, len(text), BLOCK):
-        points = _letters(text[max(0, at - n) : at + BLOCK])
-        if points.any() and len(points) >= n:
+        new = _letters(text[at : at + BLOCK])
+        any_letter |= bool(new.any())
+        points = np.concatenate([carried, new, np.zeros(int(at + BLOCK >= len(text)), np.int64)])
+        points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
+        if len(points) >= n:
             code = points[: len(points) - n + 1].copy()
             for k in range(1, n):
                 code = (code << 21) | points[k : len(points) - n + 1 + k]
             parts.append(np.unique(code, return_counts=True))
-    if not parts:
+        carried = points[-(n - 1) :]
+    if not any_letter:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     if len(parts) == 1:
         return parts[0]

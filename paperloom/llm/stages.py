@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.llm import decontaminate, language_id, mixing, near_dedup, queries, tokens as token_files
 from paperloom.llm.common import read
+from paperloom.session import materialise
 
 #: A text less similar than this to every learned language is rejected.
 MIN_LANGUAGE_SCORE = 0.05
@@ -23,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     judged = near_dedup.near_dedup(docs)
     kept = judged.where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
-    kept = near_dedup.materialise(kept, "kept")
+    kept = materialise(kept, "kept")
     once, again = kept.where("n = 1"), kept.where("n > 1")
     same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
     return docs.join(once, same, "left_semi").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -104,7 +104,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     swept = (
         points.withColumn("open", F.last("stack", ignorenulls=True).over(sweep))
         .where("kind = 1")
-        .join(carried, F.col("part") == F.col("of"))
+        .join(F.broadcast(carried), F.col("part") == F.col("of"))  # one row per partition
         .withColumn("open", F.coalesce("open", "carried"))
         .withColumn("best", F.get(F.filter("open", lambda r: F.startswith(F.col("key"), r["prefix"])), F.lit(0)))
     )
