@@ -162,7 +162,7 @@ SELECT page_id, label, url FROM (SELECT *, row_number() OVER (PARTITION BY page_
 WHERE rn = 1""",
 )
 def best_figure(spark: SparkSession, sf: str) -> DataFrame:
-    rows = G.with_figures(view(spark, sf, "pages_fig")).withColumn("best", G.best_figure(F.col("figures")))
+    rows = G.with_figures(view(spark, sf, "pages_fig"), None).withColumn("best", G.best_figure(F.col("figures")))
     return rows.select("page_id", "best.label", "best.url")
 
 

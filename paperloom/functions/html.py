@@ -78,11 +78,16 @@ def _numbered_entities(col: Column) -> Column:
 
 
 def unescape(col: Column) -> Column:
-    """Common named entities and all numbered ones, ampersand last."""
-    col = _numbered_entities(col)
-    for name, char in ENTITIES:
-        col = F.replace(col, F.lit(name), F.lit(char))
-    return col
+    """Common named entities and all numbered ones, each decoded once."""
+
+    def decode(piece: Column, i: Column) -> Column:
+        out = F.when(i == 0, piece).when(F.startswith(piece, F.lit("#")), _numbered_entities(F.concat(F.lit("&"), piece)))
+        for name, char in ENTITIES:
+            out = out.when(F.startswith(piece, F.lit(name[1:])), F.concat(F.lit(char), F.substring(piece, F.lit(len(name)), F.length(piece))))
+        return out.otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.transform(F.split(col, "&"), decode)
+    return F.when(F.contains(col, F.lit("&")), F.array_join(pieces, "")).otherwise(col)
 
 
 def without_dropped(html: Column) -> Column:

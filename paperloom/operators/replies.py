@@ -57,8 +57,17 @@ def task_array(pairs: Sequence[tuple[str, str]]) -> Column:
 
 
 def one_reply(replies: DataFrame, *keys: str) -> DataFrame:
-    """One reply per key, the largest text when there are several; combines on the map side."""
-    return replies.groupBy(*keys).agg(F.max("reply").alias("_reply"))
+    """The newest reply per key; combines on the map side."""
+    return replies.groupBy(*keys).agg(newest_reply(replies).alias("_reply"))
+
+
+def newest_reply(replies: DataFrame, where: Column | None = None) -> Column:
+    """Aggregate: the reply with the latest ``replied_at``, then the highest ``attempt``.
+
+    Where a table lacks these columns, and among equals, the largest text stands.
+    """
+    order = F.struct(*[c for c in ("replied_at", "attempt") if c in replies.columns], "reply")
+    return F.max(order if where is None else F.when(where, order))["reply"]
 
 
 def with_doc(rows: DataFrame, replies: DataFrame, *keys: str) -> DataFrame:
@@ -269,7 +278,7 @@ def answers(records: DataFrame, replies: DataFrame | None = None) -> DataFrame:
     else:
         slots = [f"_r{i}" for i in range(MAX_QUESTIONS)]
         folded = replies.groupBy("arxiv_id").agg(
-            *[F.max(F.when(F.col("pos") == i, F.col("reply"))).alias(s) for i, s in enumerate(slots)]
+            *[newest_reply(replies, F.col("pos") == i).alias(s) for i, s in enumerate(slots)]
         )
         rows = records.join(folded, "arxiv_id", "left")
         rows = compute_once(rows, "_given", F.transform(F.array(*slots), read)).drop(*slots)

@@ -86,27 +86,32 @@ def assign(passed: DataFrame) -> DataFrame:
     return first_per_key(passed, ["arxiv_id"], order)
 
 
-def assign_with_limit(candidates: DataFrame, conf: TriageConfig, limit: int, n_windows: int = 1) -> DataFrame:
+def assign_with_limit(scored: DataFrame, conf: TriageConfig, limit: int) -> DataFrame:
     """The same with at most `limit` candidates looked at per window and topic.
 
-    The limit counts candidates that no earlier topic selected, so topics have to be
-    taken in order: one small job for each (window, topic).  `candidates` should come
-    from `top_recent`, which bounds them.  What a step selects is checkpointed, so the
-    lineage stays one step long and survives lost executors.
+    The limit counts candidates that no earlier topic selected, so the windows that occur
+    and their topics are taken in order: one small job for each.  These jobs see ids,
+    dates and scores only; the chosen rows are met with their texts once, at the end.
+    What a step selects is checkpointed, so the lineage stays one step long and survives
+    lost executors.
     """
-    spark = candidates.sparkSession
+    spark = scored.sparkSession
     ensure_checkpoint_dir(spark)
-    scored = score_candidates(candidates, conf).checkpoint()
+    scored = scored.checkpoint()
+    slim = scored.select("arxiv_id", "window_idx", "topic_idx", "published", "score")
+    windows = [r[0] for r in slim.select("window_idx").distinct().orderBy("window_idx").collect()]  # as many as windows
     chosen: list[DataFrame] = []
-    for window in range(n_windows):
+    for window in windows:
         for topic in range(len(conf.topics)):
-            step = scored.where((F.col("window_idx") == window) & (F.col("topic_idx") == topic))
+            step = slim.where((F.col("window_idx") == window) & (F.col("topic_idx") == topic))
             if chosen:
                 taken = reduce(DataFrame.union, [c.select("arxiv_id") for c in chosen])
-                step = step.join(taken, "arxiv_id", "left_anti").select(scored.columns)
-            head = step.orderBy(F.col("published").desc(), F.col("arxiv_id")).limit(limit)
+                step = step.join(taken, "arxiv_id", "left_anti").select(slim.columns)
+            head = step.orderBy(F.col("published").desc(), F.col("arxiv_id"), F.col("score").desc()).limit(limit)
             chosen.append(passing(head, conf.pass_threshold).checkpoint())
-    return reduce(DataFrame.union, chosen) if chosen else scored.limit(0)
+    if not chosen:
+        return scored.limit(0)
+    return scored.join(reduce(DataFrame.union, chosen), slim.columns, "left_semi").select(scored.columns)
 
 
 def preview(candidates: DataFrame) -> DataFrame:

@@ -41,7 +41,6 @@ def select(
     run_ts: datetime,
     manifest: DataFrame | None = None,
     window: tuple[datetime, datetime, int] | None = None,
-    n_windows: int = 1,
     replies: DataFrame | None = None,
 ) -> DataFrame:
     """Papers that passed, each with its first topic, scores and score.
@@ -51,11 +50,11 @@ def select(
     found = candidates(papers, conf, run_ts, window)
     if manifest is not None:
         found = S.unseen(found, manifest)
-    if conf.paper_limit is not None:
-        return S.assign_with_limit(found, conf, conf.paper_limit, n_windows)
     scored = S.score_candidates(found, conf)
     if replies is not None:
         scored = R.relevance(scored, replies, conf.dimensions, "arxiv_id", "topic_idx")
+    if conf.paper_limit is not None:
+        return S.assign_with_limit(scored, conf, conf.paper_limit)
     return S.assign(S.passing(scored, conf.pass_threshold))
 
 
@@ -138,6 +137,9 @@ def dispatched(
 
     `submissions` has ``sub_id, raw, topic``; a paper submitted twice is scored once.
     """
+    if not topics:
+        topics = [intake.ADHOC_TOPIC]
+        conf = TriageConfig(**{**conf.__dict__, "topics": tuple(topics)})
     todo = intake.triage(submissions, analysed).where(F.col("status") == "dispatched")
     asked = todo.withColumn("topic_idx", intake.resolve_topic(F.col("topic"), topics)).groupBy("arxiv_id").agg(
         F.min_by("topic_idx", "sub_id").alias("topic_idx")

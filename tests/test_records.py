@@ -392,3 +392,18 @@ def test_hot_groups_are_cut_before_the_shuffle(spark):
     latest = A.latest(rows.select("arxiv_id", F.lit("1").alias("generated_at")))
     plan = latest._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan[plan.rindex("Exchange hashpartitioning") :]
+
+
+def test_the_newest_reply_stands(spark):
+    from paperloom.operators.replies import one_reply
+
+    rows = [("p", "{\"x\": \"old\"}", 1, 1), ("p", "{\"a\": \"new\"}", 2, 1), ("p", "{\"b\": 0}", 2, 0), ("q", "z", 1, 1)]
+    table = spark.createDataFrame(rows, "arxiv_id string, reply string, replied_at long, attempt int")
+    assert dict(one_reply(table, "arxiv_id").collect()) == {"p": "{\"a\": \"new\"}", "q": "z"}
+    assert dict(one_reply(table.drop("replied_at", "attempt"), "arxiv_id").collect())["p"] == "{\"x\": \"old\"}"
+
+
+def test_entities_are_decoded_once(one):
+    from paperloom.functions import html
+
+    assert one(html.unescape(F.lit("a &#38;lt; b &lt;&amp;lt; &#x41;&bogus; & c"))) == "a &lt; b <&lt; A&bogus; & c"

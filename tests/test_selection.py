@@ -145,7 +145,7 @@ def test_first_window_wins_in_backfill(spark, seed):
 def test_paper_limit_is_a_fold(spark, limit):
     rows = random_rows(21)
     window = (T0, T0 + timedelta(days=20), 10)
-    got = triage.select(papers(spark, rows), conf(dimensions=DIMS, paper_limit=limit), T0, None, window, 2)
+    got = triage.select(papers(spark, rows), conf(dimensions=DIMS, paper_limit=limit), T0, None, window)
     want = sequential(rows, MATCH, passes, [(0, 10), (10, 20)], limit)
     assert sorted((r.arxiv_id, r.window_idx, r.topic_idx) for r in got.collect()) == want
 
@@ -204,3 +204,22 @@ def test_config_document():
     assert got.topics[0].display == "Some Topic" and got.topics[0].categories == ()
     assert (got.pass_threshold, got.max_per_topic, got.days_back) == (60.0, 25, 7)
     assert got.dimensions == (Dimension("d", 1.0, ""),)
+
+
+def test_limit_keeps_every_window_and_uses_replies(spark):
+    rows = papers(spark, random_rows(22))
+    window = (T0, T0 + timedelta(days=20), 5)
+    best = '{"topic_alignment":{"score":100},"methodology_fit":{"score":100},"novelty":{"score":100},"experiment_completeness":{"score":100}}'
+    replies = rows.select("arxiv_id", F.explode(F.sequence(F.lit(0), F.lit(len(TOPICS) - 1))).alias("topic_idx"), F.lit(best).alias("reply"))
+    limited = triage.select(rows, conf(paper_limit=10_000), T0, None, window, replies).collect()
+    free = triage.select(rows, conf(), T0, None, window, replies).collect()
+    assert {r.window_idx for r in limited} == {r.window_idx for r in free} and len({r.window_idx for r in free}) > 1
+    assert sorted(r.arxiv_id for r in limited) == sorted(r.arxiv_id for r in free)
+
+
+def test_submissions_without_topics_are_scored(spark):
+    rows = papers(spark, [("a", "alpha beta", ["c2"], 1)])
+    asked = spark.createDataFrame([("s1", "2401.00001", None)], "sub_id string, raw string, topic string")
+    none = spark.createDataFrame([], "arxiv_id string")
+    found = triage.dispatched(asked, rows.withColumn("arxiv_id", F.lit("2401.00001")), none, [], conf(topics=()))
+    assert [r.topic for r in found.collect()] == ["ad-hoc"]

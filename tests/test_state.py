@@ -222,3 +222,13 @@ def test_snapshot_sink(spark):
     second = first.withColumn("note", F.when(F.col("arxiv_id") == "b", "2").otherwise(F.col("note")))
     assert tuple(sinks.write_snapshot(second, path, ["arxiv_id"], "stars").first()) == ("stars", 2, 1, True)
     assert [r.arxiv_id for r in spark.read.json(f"{path}/stars/changes/1").collect()] == ["b"]
+
+
+def test_snapshot_names_what_was_removed(spark):
+    path = shared_dir(spark, "gone")
+    schema = "arxiv_id string, note string"
+    sinks.write_snapshot(spark.createDataFrame([("a", "1"), ("b", "1")], schema), path, ["arxiv_id"], "stars")
+    later = spark.createDataFrame([("b", "2"), ("c", "3")], schema)
+    assert tuple(sinks.write_snapshot(later, path, ["arxiv_id"], "stars").first()) == ("stars", 2, 3, True)
+    rows = {r.arxiv_id: (r.op, r.note) for r in spark.read.json(f"{path}/stars/changes/1").collect()}
+    assert rows == {"a": ("removed", "1"), "b": ("changed", "2"), "c": ("added", "3")}
