@@ -59,7 +59,7 @@ class TriageConfig:
     paper_limit: int | None = None
     task_list_size: int = DEFAULT_TASK_LIST_SIZE
     max_content_chars: int = DEFAULT_MAX_CONTENT_CHARS
-    page_chars: int = DEFAULT_PAGE_CHARS
+    page_chars: int | None = None  # whole pages; a number cuts their text before anything reads it
     language: str = "zh-CN"
     site_base_url: str = ""
     novelty_words: Sequence[str] = NOVELTY_WORDS

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from paperloom.config import Topic, TriageConfig
 from paperloom.operators import analyses as A
 from paperloom.operators import candidates as C
-from paperloom.operators import digest, figures, intake, replies as R, selection as S
+from paperloom.operators import digest, figures, intake, prompts as P, replies as R, selection as S
 from paperloom.session import counted, materialise
 from paperloom.sources import sinks
 
@@ -115,6 +115,14 @@ def analyse(
     return R.translation(rows, have.get("translate"), conf.language)
 
 
+def body_prompts(records: DataFrame, conf: TriageConfig) -> dict[str, DataFrame]:
+    """Prompts that carry the paper's text, up to the configured length: ``core`` and ``answer``.
+
+    Texts are cut in the prompt only; records keep them whole.
+    """
+    return {"core": P.core(records, conf.max_content_chars), "answer": P.answers(records, conf.max_content_chars)}
+
+
 def single_paper(
     papers: DataFrame, raw_id: str, topic_name: str | None, conf: TriageConfig
 ) -> DataFrame:

@@ -407,3 +407,17 @@ def test_entities_are_decoded_once(one):
     from paperloom.functions import html
 
     assert one(html.unescape(F.lit("a &#38;lt; b &lt;&amp;lt; &#x41;&bogus; & c"))) == "a &lt; b <&lt; A&bogus; & c"
+
+
+def test_configured_length_reaches_the_prompts(spark):
+    words = "word " * 4000
+    page = f"<html><body><p>{words}end.</p></body></html>"
+    pages = spark.createDataFrame([("p", "http://h/x", page)], "arxiv_id string, url string, html string")
+    conf = TriageConfig(topics=(Topic("t", "T"),), max_content_chars=7)
+    read = G.page_text(pages, conf.page_chars).first().body
+    assert read.endswith("end.")  # pages are read whole
+    task = F.struct(F.lit("Q?").alias("question"), F.lit("R").alias("reason"))
+    done = paper(spark).withColumn("body", F.lit(read)).withColumn("tasks", F.array(task))
+    asked = triage.body_prompts(done, conf)
+    assert asked["core"].first().user.endswith("Content: word wo")
+    assert {r.user.rpartition("Content: ")[2] for r in asked["answer"].collect()} == {"word wo"}
