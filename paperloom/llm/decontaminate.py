@@ -42,17 +42,25 @@ def _bits(h: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(shift)) % np.uint64(FILTER_BITS)).astype(np.int64) for shift in (0, 20, 40)]
 
 
-def best_overlap(same: np.ndarray) -> tuple[int, int, int]:
-    """``start, end, matches`` of the stretch with the most matches less four times its differences."""
-    best, total, begin, matched, answer = 0, 0, 0, 0, (0, 0, 0)
-    for i, hit in enumerate(same.tolist()):
-        if total <= 0:
-            total, begin, matched = 0, i, 0
-        total += 1 if hit else -4
-        matched += hit
-        if total > best:
-            best, answer = total, (begin, i + 1, matched)
-    return answer
+def best_overlap(same: np.ndarray, least: int) -> tuple[int, int, int]:
+    """``start, end, matches`` of the longest stretch with four of five words equal; zeros where `least` are not.
+
+    The stretch begins and ends with an equal word, which drops no stretch with enough of
+    them.  Of equally long ones that with the most equal words is taken, then the first.
+    """
+    if int(same.sum()) < least:
+        return 0, 0, 0
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])  # over a stretch: not below 0 where 4 of 5 are equal
+    starts, ends = np.flatnonzero(same), np.flatnonzero(same) + 1
+    lowest = np.minimum.accumulate(total[starts])
+    first = starts[np.searchsorted(-lowest, -total[ends])]  # the first start from which the total does not fall
+    n = int((ends - first).max())
+    begins = starts[starts + n <= len(same)]
+    begins = begins[same[begins + n - 1]]
+    begin = int(begins[np.argmax(total[begins + n] - total[begins])])
+    matched = int(same[begin : begin + n].sum())
+    # any stretch with `least` equal words is at most this long, and of its length this one has the most
+    return (begin, begin + n, matched) if matched >= least else (0, 0, 0)
 
 
 def _seed_filter(spark: SparkSession, bench_seeds: DataFrame):
@@ -75,8 +83,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Texts are runs of letters and digits, lower-cased.  An overlap is a stretch of a
     document aligned word for word with a stretch of an item, in which at least four of
     five words agree and at least `MIN_WORDS` (or all words of a shorter item) do; it is
-    found where a seed of both agrees.  n_words is the length of the best overlap of the
-    pair, n_match its equal words.  Null and empty texts have no overlap, nor have items
+    found where a seed of both agrees.  n_words is the length of the longest overlap of the
+    pair from an equal word to an equal word, n_match its equal words.  Null and empty texts have no overlap, nor have items
     of fewer than five words.  Rows that repeat an id count as one document or item with
     several texts; rows with a null id are found like others.  Longer overlaps win, then
     those with more matches.
@@ -141,8 +149,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         out = []
         for doc_id, item_id, n_item, a, b in zip(*(batch[c] for c in ("doc_id", "item_id", "n_item", "a", "b"))):
             n = min(len(a), len(b))
-            begin, end, matched = best_overlap(np.array(a[:n]) == np.array(b[:n]))
-            if matched >= min(MIN_WORDS, n_item):
+            begin, end, matched = best_overlap(np.array(a[:n]) == np.array(b[:n]), min(MIN_WORDS, n_item))
+            if matched:
                 out.append((doc_id, item_id, end - begin, matched))
         return out
 
