@@ -15,6 +15,8 @@ DIMENSION, NGRAM, SEED = 1024, 3, 5
 BLOCK = 1 << 20
 #: Letter vectors kept per worker; beyond that they are made anew.
 LETTERS = 20_000
+#: Standard deviations of a score by chance that a text gets for free before it is rejected.
+NOISE = 3
 
 _IS_LETTER = np.zeros(0, bool)
 
@@ -79,7 +81,15 @@ def bundle(codes: np.ndarray, counts: np.ndarray, n: int = NGRAM, dimension: int
 
 
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """One unit vector per non-null ``lang``, bundled from all n-grams of all its texts.
+    """One unit vector per non-null ``lang``, bundled from all n-grams of all its texts."""
+    return profiles(docs)[0]
+
+
+def profiles(docs: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+    """The vectors of `learn`, and per language the chance that two of its n-grams are equal.
+
+    The chance is estimated from the length of the summed vector: n-gram vectors are
+    nearly orthogonal, so its square is the dimension times the sum of squared counts.
 
     Every batch adds up its texts' n-grams per language and turns them into one vector;
     the vectors are summed by Spark.  What reaches the driver is one row per language.
@@ -94,22 +104,26 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
         out = []
         for lang, parts in found.items():
             merged = merge(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            out.append((lang, bundle(*merged).tolist()))
+            out.append((lang, [*bundle(*merged).tolist(), float(merged[1].sum())]))  # the last is the number of n-grams
         return out
 
     sums = map_batches(docs.select("text", "lang"), run, "lang string, vector array<double>")
     sums = sums.select("lang", F.posexplode("vector").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).orderBy("lang").collect()
-    out = {}
+    units, chances = {}, {}
     for row in rows:
-        vector = np.array([p["x"] for p in row["v"]])
-        out[row["lang"]] = vector / max(np.linalg.norm(vector), 1e-12)
-    return out
+        *vector, total = (p["x"] for p in row["v"])
+        norm = max(np.linalg.norm(vector), 1e-12)
+        units[row["lang"]], chances[row["lang"]] = np.array(vector) / norm, float(norm**2 / DIMENSION / total**2)
+    return units, chances
 
 
 def predict(text: str | None, langs: list[str], prototypes: np.ndarray) -> tuple[str, float]:
     """Nearest prototype by cosine (ties: first by name); ``und`` and 0 without letters or prototypes."""
-    codes, counts = ngrams(text)
+    return _nearest(*ngrams(text), langs, prototypes)
+
+
+def _nearest(codes: np.ndarray, counts: np.ndarray, langs: list[str], prototypes: np.ndarray) -> tuple[str, float]:
     if not len(codes) or not langs:
         return "und", 0.0
     vector = bundle(codes, counts)
@@ -128,18 +142,46 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float) -> DataFrame:
-    """Rows of `docs`, unchanged, whose text has a language with at least `min_score`."""
+def expected_score(counts: np.ndarray, chance: float) -> float:
+    """Cosine that n-grams with these counts have on average if drawn from a language with this `chance` (see `profiles`)."""
+    return float(counts.sum() * np.sqrt(chance) / np.sqrt((counts.astype(np.float64) ** 2).sum()))
+
+
+def is_known(text: str | None, langs: list[str], prototypes: np.ndarray, chances: dict[str, float], share: float) -> bool:
+    """Whether the text's n-grams are `share` times as usual in the nearest language as its own are, or may be.
+
+    What any text scores by chance has the standard deviation of a random direction,
+    ``1 / sqrt(DIMENSION)``; a text that misses by less than `NOISE` of these stays, so
+    short texts, whose expected score is within the noise, are not judged.
+    """
+    codes, counts = ngrams(text)
+    lang, score = _nearest(codes, counts, langs, prototypes)
+    return lang != "und" and score + NOISE / np.sqrt(DIMENSION) >= share * expected_score(counts, chances[lang])
+
+
+def keep_known(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float, chances: dict[str, float] | None = None
+) -> DataFrame:
+    """Rows of `docs`, unchanged, whose text has a language with at least `min_score`.
+
+    With `chances` of the languages, `min_score` is a share of the score that is expected
+    for the text's n-grams (`is_known`), else a cosine.
+    """
     langs, table = _table(docs, prototypes)
     python_ready(docs.sparkSession)
 
+    def known_text(text):
+        if chances is not None:
+            return bool(is_known(text, langs.value, table.value, chances, min_score))
+        lang, score = predict(text, langs.value, table.value)
+        return lang != "und" and score >= min_score
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            known = [p[0] != "und" and p[1] >= min_score for p in (predict(t, langs.value, table.value) for t in texts)]
-            yield batch.filter(pa.array(known))
+            yield batch.filter(pa.array([known_text(t) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
