@@ -86,9 +86,10 @@ def leaf_budgets(
 
 
 def mix(
-    rows: DataFrame, levels: list[str], weights: Mapping[str, Mapping[str, int]], share: tuple[int, int], max_epochs: int, seed: int
+    rows: DataFrame, levels: list[str], weights: Mapping[str, Mapping[str, int]], share: tuple[int, int], max_epochs: int, seed: int,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, epoch, n_tokens`` and the levels of every selected (document, epoch).
+    """``doc_id, epoch, n_tokens``, the levels and the columns `carry` of every selected (document, epoch).
 
     `rows` has ``doc_id, n_tokens`` and the levels.  The budget is ``share[0] / share[1]``
     of all tokens.  A level's value without a weight weighs 1, weight 0 excludes it; null
@@ -111,11 +112,11 @@ def mix(
         ),
         "leaves",
     )
-    dealt = rows.select("doc_id", "n_tokens", *levels).join(leaves, _same(levels, "_"))
+    dealt = rows.select("doc_id", "n_tokens", *levels, *carry).join(leaves, _same(levels, "_"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     dealt = dealt.withColumn("_order", order).withColumn("_slice", F.substring("_order", 1, SLICE_DIGITS))
     dealt = materialise(dealt, "dealt")
-    columns = ["doc_id", "epoch", "n_tokens", *levels]
+    columns = ["doc_id", "epoch", "n_tokens", *levels, *carry]
     whole = dealt.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
 
     leaf = [f"_{p}" for p in levels]

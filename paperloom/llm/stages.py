@@ -19,34 +19,57 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_known(docs, prototypes, MIN_LANGUAGE_SHARE, chances)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with ``_key``, a 64-bit hash of all columns, so that rows share it where they are equal.
+
+    Stages decide and join by this key: a doc_id may be null or stand for several texts.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn("_key", F.xxhash64(*[x for c in columns for x in (c.isNull(), c)]))  # a null alone adds nothing
+
+
+def _by_key(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of keyed rows with the key for an id."""
+    return docs.select(F.col("_key").alias("doc_id"), "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8), that with the smallest id.
+    """One row of each group of near copies (five words, similarity 0.8), that with the smallest id.
 
-    Where rows repeat an id, one of them stays.
+    Rows are judged one by one, also where they repeat an id or have none; null ids come
+    last in a group.  Of rows equal in all columns one stays.
     """
-    judged = near_dedup.near_dedup(docs)
-    kept = judged.where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
-    kept = materialise(kept, "kept")
+    docs = _keyed(docs)
+    judged = near_dedup.near_dedup(_by_key(docs)).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("group")).distinct()
+    ids = docs.groupBy("_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    first = judged.join(ids, "_key").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_key", "n")).alias("first"))
+    kept = materialise(first.select("first._key", "first.n"), "kept")
     once, again = kept.where("n = 1"), kept.where("n > 1")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    return docs.join(once, same, "left_semi").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    return docs.join(once, "_key", "left_semi").union(docs.join(again, "_key", "left_semi").dropDuplicates(["_key"])).drop("_key")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    leaks = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
-    leaks = leaks.select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    """Rows without a benchmark passage."""
+    docs = _keyed(docs)
+    leaks = decontaminate.find_leaks(_by_key(docs), read(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the leaves' budgets, each at most once."""
+    """Rows of the leaves' budgets, each at most once."""
+    columns, docs = docs.columns, _keyed(docs)
     rows = docs.select(
-        "doc_id", "lang", "source", queries.domain().alias("domain"), mixing.count_words(F.col("text")).alias("n_tokens")
+        "doc_id", "lang", "source", "_key", queries.domain().alias("domain"), mixing.count_words(F.col("text")).alias("n_tokens")
     )
-    chosen = mixing.mix(rows, queries.MIX_LEVELS, queries.MIX_WEIGHTS, queries.MIX_SHARE, 1, queries.MIX_SEED)
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")
+    rows = materialise(rows, "counted")
+    chosen = mixing.mix(rows, queries.MIX_LEVELS, queries.MIX_WEIGHTS, queries.MIX_SHARE, 1, queries.MIX_SEED, carry=("_key",))
+    chosen = chosen.groupBy("_key").agg(F.count("*").alias("_n"))
+    chosen = materialise(chosen.join(rows.groupBy("_key").agg(F.count("*").alias("_of")), "_key"), "chosen")
+    whole = docs.join(chosen.where("_n = _of"), "_key", "left_semi").select(columns)
+    # of equal rows only some fit: one of them, repeated
+    some = docs.join(chosen.where("_n < _of").select("_key"), "_key", "left_semi")
+    some = some.dropDuplicates(["_key"]).join(chosen, "_key").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return whole.union(some.select(columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
