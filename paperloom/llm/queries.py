@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import chat, decontaminate, language_id, mixing, near_dedup, pii, quality_rules, sharding, tokens, url_rules
+from paperloom.llm import (
+    chat,
+    decontaminate,
+    language_id,
+    mixing,
+    near_dedup,
+    pii,
+    quality_rules,
+    sharding,
+    spelling,
+    tokens,
+    url_rules,
+)
 from paperloom.llm.common import read
 from paperloom.session import materialise
 
@@ -195,3 +207,39 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.hilbert_shards(docs, ["size", "lang", "source"], n_shards=40, law="rows")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     return sharded.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
+# 11: spelling variants ---------------------------------------------------------------------
+
+# crc32 by its polynomial: eight steps a byte make the table, one look-up a byte the checksum
+_CRC_STEP = "lambda c, bit: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+
+OP11_SQL = f"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], {_CRC_STEP}) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= {spelling.MIN_LENGTH} GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2),
+    lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM bytes, tab),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % {spelling.CORRUPT_EVERY} = 0
+    THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+shorter AS (SELECT DISTINCT l.word AS a, l.n AS an, v.word AS b, v.n AS bn FROM less l JOIN v ON l.d = v.word),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT a, b, bn FROM shorter UNION ALL SELECT b, a, an FROM shorter),
+best AS (SELECT word, count(*) AS n_near, arg_min(struct_pack(w := other, n := other_n), struct_pack(k := -other_n, w := other)) AS top
+  FROM near GROUP BY word),
+rows AS (SELECT v.word, v.n, CASE WHEN top.n >= {spelling.DOMINANCE} * v.n THEN top.w END AS form, coalesce(n_near, 0) AS n_near,
+  CASE WHEN top.n >= {spelling.DOMINANCE} * v.n THEN top.n END AS form_n FROM v LEFT JOIN best USING (word)),
+c(word, here, k) AS (SELECT word, form, 1 FROM rows WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, r.form, k + 1 FROM c JOIN rows r ON r.word = c.here WHERE r.form IS NOT NULL),
+chain AS (SELECT word, arg_max(here, k) AS root FROM c GROUP BY word)
+SELECT word, n, form, coalesce(root, word) AS root, n_near, form_n FROM rows LEFT JOIN chain USING (word)"""
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(read(spark, sf_dir, "documents"))
