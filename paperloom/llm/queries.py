@@ -18,6 +18,7 @@ from paperloom.llm import (
     sharding,
     spelling,
     tokens,
+    toxicity,
     url_rules,
 )
 from paperloom.llm.common import read
@@ -267,3 +268,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     indexed = hard_negatives.index(hard_negatives.whole_vectors(rows, F.col("embedding"), label))
     return hard_negatives.hard_negatives(indexed, F.col("vec_id") % 100 == 0)
+
+
+# 13: toxicity ------------------------------------------------------------------------------
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    worst = F.expr("array_max(transform(offending, s -> struct(s.score, -s.start, s.end)))")  # the first of equal ones
+    return found.withColumn("_w", worst).select(
+        "doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"),
+        (-F.col("_w.col2")).alias("worst_start"), F.col("_w.end").alias("worst_end"),
+    )
