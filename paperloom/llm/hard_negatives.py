@@ -124,7 +124,7 @@ def _best_negatives(shared, k: int):
             overlaps = np.zeros(lower.shape, bool)
             for p in range(low.shape[1]):
                 overlaps |= open_[:, p, None] & (upper >= least[:, p, None]) & (lower <= high[:, p, None])
-            overlaps &= anchors.label[:, None] != rows.label[None, :]
+            overlaps &= (anchors.label[:, None] != rows.label[None, :]) & (anchors.ident[:, None] != rows.ident[None, :])
             score = angles.scores(*_both(anchors.vectors, rows.vectors), overlaps)
             for p in range(low.shape[1]):
                 i, j = np.nonzero(overlaps & (score >= least[:, p, None]) & (score <= high[:, p, None]))
