@@ -24,8 +24,6 @@ GROUP_WORDS = 20_000
 CHUNK_ROWS, CHUNK_POINTS = 30_000, 4_000_000
 #: Words counted in a worker before they are handed on.
 COUNTED_WORDS = 200_000
-#: Each step of a chain of forms multiplies the count, so 2^5 steps are more than a long can hold.
-DOUBLINGS = 5
 
 # one byte per code point: A-Z become a-z, other letters up to U+00FF stay, all else is a space
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
@@ -182,12 +180,16 @@ def near_words(vocabulary: DataFrame, min_length: int = MIN_LENGTH, group_words:
 
 
 def roots(forms: DataFrame) -> DataFrame:
-    """``word, root`` of rows (word, form): where the chain of forms ends, by doubling the steps."""
+    """``word, root`` of rows (word, form): where the chain of forms ends, by doubling the steps.
+
+    Counts grow along a chain, so it ends; as each step multiplies them, a few rounds do.
+    """
     to = materialise(forms.select("word", F.col("form").alias("root")), "forms")
-    for _ in range(DOUBLINGS):
+    while True:
         on = to.select(F.col("word").alias("root"), F.col("root").alias("further"))
+        if to.join(on, "root", "left_semi").isEmpty():
+            return to
         to = materialise(to.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "forms")
-    return to
 
 
 def group_spellings(
@@ -200,7 +202,7 @@ def group_spellings(
     hashed like an empty one, repeated rows count again.  Words are near when one code
     point inserted, deleted or replaced turns one into the other.  The form is the most
     frequent near word (ties: the smallest), if it occurs `dominance` times as often, else
-    null; the root is where the chain of forms ends.  `min_length` is at least 2.  An empty
+    null; the root is where the chain of forms ends.  `min_length` and `dominance` are at least 2.  An empty
     table has no words.  Other columns of `docs` are ignored.
     """
     vocabulary = count_words(docs, corrupt_every, min_length).where(F.col("n") >= min_count)
