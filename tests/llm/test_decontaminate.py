@@ -23,14 +23,13 @@ def brute(docs, items):
                 )
                 if not seeded:
                     continue
-                total, begin, matched, top, answer = 0, 0, 0, 0, (0, 0)
-                for i, s in enumerate(same):
-                    if total <= 0:
-                        total, begin, matched = 0, i, 0
-                    total, matched = total + (1 if s else -4), matched + s
-                    if total > top:
-                        top, answer = total, (i + 1 - begin, matched)
-                if answer[1] >= min(MIN_WORDS, len(b)):
+                answer = (0, 0)
+                for i in range(len(same)):  # all stretches, by the definition
+                    for j in range(i + 1, len(same) + 1):
+                        matched = sum(same[i:j])
+                        if same[i] and same[j - 1] and 5 * matched >= 4 * (j - i) and matched >= min(MIN_WORDS, len(b)):
+                            answer = max(answer, (j - i, matched))
+                if answer[1]:
                     best[doc_id, item_id] = max(best.get((doc_id, item_id), (0, 0)), answer)
     return best
 
