@@ -118,7 +118,7 @@ SELECT arxiv_id, window_idx, topic, score FROM (
 )
 def backfill_selection(spark: SparkSession, sf: str) -> DataFrame:
     chosen = triage.select(
-        papers(spark, sf), _with(max_per_topic=20), RUN_TS, view(spark, sf, "manifest"), BACKFILL, 5
+        papers(spark, sf), _with(max_per_topic=20), RUN_TS, manifest=view(spark, sf, "manifest"), window=BACKFILL
     )
     return chosen.select("arxiv_id", "window_idx", "topic", "score")
 

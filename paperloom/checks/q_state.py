@@ -193,16 +193,17 @@ def archive_new_rows(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------
 
 
-def _landed(df: DataFrame, spark: SparkSession, by: str, files: int) -> str:
-    """The rows as files that land one after the other, in `by` order."""
+def _landed(df: DataFrame, spark: SparkSession, by: str, batches: int, shuffled: bool = False) -> DataFrame:
+    """The rows as a stream of about `batches` micro-batches, landed by one distributed write.
+
+    Each file holds a range of `by`, or with `shuffled` rows from everywhere, so that
+    every micro-batch brings late events.
+    """
     path = shared_dir(spark, "landing")
-    low, high = df.agg(F.min(by), F.max(by)).first()
-    step = (high - low) / files
-    for i in range(files):
-        after = F.col(by) >= F.lit(low + step * i) if i else F.lit(True)
-        until = F.col(by) < F.lit(low + step * (i + 1)) if i < files - 1 else F.lit(True)
-        df.where(after & until).coalesce(1).write.mode("append").parquet(path)
-    return path
+    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartition(files, F.xxhash64(by)) if shuffled else df.repartitionByRange(files, by)
+    dealt.write.parquet(path)
+    return stream_feed.file_stream(spark, path, df.schema, -(-files // batches))
 
 
 @query(
@@ -212,7 +213,7 @@ def _landed(df: DataFrame, spark: SparkSession, by: str, files: int) -> str:
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     events = view(spark, sf, "state_events")
     out, ck = shared_dir(spark, "incremental"), shared_dir(spark, "checkpoint")
-    stream = stream_feed.file_stream(spark, _landed(events, spark, "event_id", 4), events.schema, 1)
+    stream = _landed(events, spark, "event_id", 4)
     query_ = stream_feed.run_incremental(
         stream, out, ck, "arxiv_id", ["ts", "event_id"], lambda new: new.select("arxiv_id", "op")
     )
@@ -230,8 +231,7 @@ def stream_candidates(spark: SparkSession, sf: str) -> DataFrame:
     feed = papers(spark, sf)
     out, ck = shared_dir(spark, "incremental"), shared_dir(spark, "checkpoint")
     # everything arrives twice; the second copy must not be handled again
-    landing = _landed(feed.unionByName(feed), spark, "doc_id", 4)
-    stream = stream_feed.file_stream(spark, landing, feed.schema, 2)
+    stream = _landed(feed.unionByName(feed), spark, "doc_id", 4)
     query_ = stream_feed.run_incremental(
         stream, out, ck, "arxiv_id", ["published"],
         lambda new: candidates.topic_candidates(new, TOPICS).select("arxiv_id", "topic_idx"),
@@ -240,39 +240,44 @@ def stream_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return stream_feed.read_rows(spark, out)
 
 
-@query(
-    "stream_state",
-    f"WITH {STATES} SELECT arxiv_id, strftime(starred_at, '%Y-%m-%d %H:%M:%S.%f') AS starred_at, topic, note FROM stars",
+_STREAM_STARS = (
+    f"WITH {STATES} SELECT arxiv_id, strftime(starred_at, '%Y-%m-%d %H:%M:%S.%f') AS starred_at, topic, note FROM stars"
 )
-def stream_star_state(spark: SparkSession, sf: str) -> DataFrame:
+
+
+@query("stream_state", _STREAM_STARS)
+def stream_star_state(spark: SparkSession, sf: str, shuffled: bool = False) -> DataFrame:
     events = view(spark, sf, "state_events")
     out, ck = shared_dir(spark, "stars"), shared_dir(spark, "checkpoint")
-    # files are named by partition, so they arrive in time order
-    stream = stream_feed.file_stream(spark, _landed(events, spark, "ts", 4), events.schema, 1)
+    stream = _landed(events, spark, "ts", 4, shuffled)
     stream_feed.run_until_done(stream_state.run_star_stream(stream, out, ck))
     return stream_state.star_state(spark, out).select("arxiv_id", _text("starred_at"), "topic", "note")
 
 
-@query(
-    "stream_hides",
-    f"WITH {STATES} SELECT arxiv_id, strftime(hidden_at, '%Y-%m-%d %H:%M:%S.%f') AS hidden_at FROM hidden",
+_STREAM_HIDES = (
+    f"WITH {STATES} SELECT arxiv_id, strftime(hidden_at, '%Y-%m-%d %H:%M:%S.%f') AS hidden_at FROM hidden"
 )
-def stream_hides(spark: SparkSession, sf: str) -> DataFrame:
+
+
+@query("stream_hides", _STREAM_HIDES)
+def stream_hides(spark: SparkSession, sf: str, shuffled: bool = False) -> DataFrame:
     events = view(spark, sf, "state_events")
     out, ck = shared_dir(spark, "hides"), shared_dir(spark, "checkpoint")
-    stream = stream_feed.file_stream(spark, _landed(events, spark, "ts", 3), events.schema, 1)
+    stream = _landed(events, spark, "ts", 3, shuffled)
     stream_feed.run_until_done(stream_state.run_hide_stream(stream, out, ck))
     return stream_state.hide_state(spark, out).select("arxiv_id", _text("hidden_at"))
 
 
-@query(
-    "stream_annotations",
-    f"WITH {NOTES} SELECT arxiv_id, note_id, stage, quote, note, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM notes",
+_STREAM_NOTES = (
+    f"WITH {NOTES} SELECT arxiv_id, note_id, stage, quote, note, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM notes"
 )
-def stream_annotations(spark: SparkSession, sf: str) -> DataFrame:
+
+
+@query("stream_annotations", _STREAM_NOTES)
+def stream_annotations(spark: SparkSession, sf: str, shuffled: bool = False) -> DataFrame:
     events = view(spark, sf, "note_events")
     out, ck = shared_dir(spark, "notes"), shared_dir(spark, "checkpoint")
-    stream = stream_feed.file_stream(spark, _landed(events, spark, "ts", 3), events.schema, 1)
+    stream = _landed(events, spark, "ts", 3, shuffled)
     stream_feed.run_until_done(stream_state.run_note_stream(stream, out, ck))
     return stream_state.annotation_state(spark, out).select(
         "arxiv_id", "note_id", "stage", "quote", "note", _text("created_at")
@@ -283,7 +288,7 @@ def stream_annotations(spark: SparkSession, sf: str) -> DataFrame:
 def stream_chats(spark: SparkSession, sf: str) -> DataFrame:
     turns = view(spark, sf, "chat_turns").withColumn("role", F.regexp_replace("role", "^system$", "clear"))
     out, ck = shared_dir(spark, "chats"), shared_dir(spark, "checkpoint")
-    stream = stream_feed.file_stream(spark, _landed(turns, spark, "seq", 2), turns.schema, 1)
+    stream = _landed(turns, spark, "seq", 2)
     stream_feed.run_until_done(stream_state.run_chat_stream(stream, out, ck))
     return stream_state.chat_history(spark, out)
 
@@ -292,8 +297,7 @@ def stream_chats(spark: SparkSession, sf: str) -> DataFrame:
 def stream_within_watermark(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     out, ck = shared_dir(spark, "within"), shared_dir(spark, "checkpoint")
-    landing = _landed(view(spark, sf, "state_events").select("arxiv_id", F.col("ts").cast("timestamp").alias("ts")), spark, "ts", 2)
-    stream = stream_feed.file_stream(spark, landing, "arxiv_id string, ts timestamp")
+    stream = _landed(view(spark, sf, "state_events").select("arxiv_id", F.col("ts").cast("timestamp").alias("ts")), spark, "ts", 2)
     once = stream_feed.dedup_within(stream, "arxiv_id", "ts", "400 days")
     done = (
         once.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
@@ -301,3 +305,21 @@ def stream_within_watermark(spark: SparkSession, sf: str) -> DataFrame:
     )
     stream_feed.run_until_done(done)
     return spark.read.parquet(out).select("arxiv_id")
+
+
+# the same state when every micro-batch brings events from all times
+
+
+@query("stream_state_shuffled", _STREAM_STARS)
+def stream_state_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    return stream_star_state(spark, sf, shuffled=True)
+
+
+@query("stream_hides_shuffled", _STREAM_HIDES)
+def stream_hides_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    return stream_hides(spark, sf, shuffled=True)
+
+
+@query("stream_annotations_shuffled", _STREAM_NOTES)
+def stream_annotations_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    return stream_annotations(spark, sf, shuffled=True)

@@ -1,93 +1,83 @@
 """User state out of events: stars, hides, notes.  Pure folds, no user code per row.
 
-A key's history is cut into slices of event time.  Each slice folds on its own, then
-the few slice results of a key fold again in time order, so a key that holds a large
-share of all events still spreads over many tasks.
+State is kept as registers that only grow: per key the place (time, event id) of the last
+reset, of the last put, and of the last value of each field, each a maximum.  Merging
+registers is taking maxima again, so events may arrive in any order, in any split and more
+than once.  Only the *first* put of a key's present life is no maximum: a reset that
+arrives late moves it.  So the places of puts are kept as narrow rows beside the registers,
+and the first one at or after the reset is looked up.  Nothing here orders the events of a
+key, so a key that holds a large share of all events spreads over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions.text import strip
 
 # Sections a note may belong to.
 NOTE_STAGES = ("relevance", "brief", "problem", "solution", "methodology", "experiments", "conclusion", "qa")
-SLICE = "hour"
 
 
-def _last_life(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column) -> DataFrame:
-    """Rows of each group from its last row where `starts` holds; all rows if none does.
+def place() -> Column:
+    """Where an event stands among all events."""
+    return F.struct("ts", "event_id")
 
-    Adds ``_reset``: whether such a row exists.
+
+def registers(events: DataFrame, keys: Sequence[str], drop: Column, replace: Column, fields: Sequence[str]) -> DataFrame:
+    """One row per key: ``reset, put`` (places) and per field ``(ts, event_id, value)`` of its last value.
+
+    `drop` marks events that delete a key, `replace` those that start it over; all but
+    `drop` put.  Every aggregate is a maximum, combined before the shuffle.
     """
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    return (
-        df.withColumn("_life", F.sum(F.when(starts, 1).otherwise(0)).over(upto))
-        .withColumn("_last", F.max("_life").over(whole))
-        .where(F.col("_life") == F.col("_last"))
-        .withColumn("_reset", F.col("_last") > 0)
-        .drop("_life", "_last")
+    return events.groupBy(*keys).agg(
+        F.max(F.when(drop | replace, place())).alias("reset"),
+        F.max(F.when(~drop, place())).alias("put"),
+        *[F.max(F.when(~drop & F.col(f).isNotNull(), F.struct("ts", "event_id", F.col(f).alias("value")))).alias(f) for f in fields],
     )
 
 
-def slice_deltas(
-    events: DataFrame, keys: Sequence[str], drop: Column, replace: Column, keep_last: Sequence[str], width: str = SLICE
-) -> DataFrame:
-    """One row per key and time slice: ``starts, puts, first_ts`` and the `keep_last` columns.
+def put_places(events: DataFrame, keys: Sequence[str], drop: Column) -> DataFrame:
+    """``keys, ts, event_id`` of every put."""
+    return events.where(~drop).select(*keys, "ts", "event_id")
 
-    ``starts`` says that the slice wipes what came before, ``puts`` counts the upserts
-    after that, ``first_ts`` is the first of them.
-    """
-    at = F.struct("ts", "event_id")
-    marked = events.select(
-        *keys,
-        "ts",
-        "event_id",
-        F.date_trunc(width, F.col("ts")).alias("slice"),
-        drop.alias("_drop"),
-        (drop | replace).alias("_starts"),
-        *keep_last,
-    )
-    lives = _last_life(marked, [*keys, "slice"], ["ts", "event_id"], F.col("_starts"))
-    put = ~F.col("_drop")
-    return lives.groupBy(*keys, "slice").agg(
-        F.max("_reset").alias("starts"),
-        F.count_if(put).alias("puts"),
-        F.min(F.when(put, F.col("ts"))).alias("first_ts"),
-        *[F.max_by(c, F.when(put & F.col(c).isNotNull(), at)).alias(c) for c in keep_last],
-    )
 
+def merge(parts: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Registers of several folds as one row per key."""
+    return parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("reset", "put", *fields)])
 
-def combine(deltas: DataFrame, keys: Sequence[str], by: str, keep_last: Sequence[str]) -> DataFrame:
-    """Fold the deltas of each key in the order of `by` to one delta."""
-    lives = _last_life(deltas, keys, [by], F.col("starts"))
-    return lives.groupBy(*keys).agg(
-        F.max("_reset").alias("starts"),
-        F.sum("puts").alias("puts"),
-        F.min("first_ts").alias("first_ts"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(by))).alias(c) for c in keep_last],
-    )
 
+def since_reset(puts: DataFrame, merged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Puts at or after their key's last reset."""
+    resets = merged.select(*keys, "reset")
+    return puts.join(resets, list(keys)).where(F.col("reset").isNull() | (place() >= F.col("reset"))).drop("reset")
 
-def present(deltas: DataFrame) -> DataFrame:
-    """Keys that exist after their last event."""
-    return deltas.where(F.col("puts") > 0).drop("starts", "puts")
+
+def current(merged: DataFrame, puts: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Keys that exist after their last event: ``first_ts`` and the fields' values since the reset."""
+    alive = merged.where(F.col("put").isNotNull() & (F.col("reset").isNull() | (F.col("put") >= F.col("reset"))))
+    first = since_reset(puts, alive, keys).groupBy(*keys).agg(F.min("ts").alias("first_ts"))
+
+    def value(field: str) -> Column:
+        at = F.struct(F.col(f"{field}.ts"), F.col(f"{field}.event_id"))
+        return F.when(F.col("reset").isNull() | (at >= F.col("reset")), F.col(f"{field}.value")).alias(field)
+
+    return alive.join(first, list(keys)).select(*keys, "first_ts", *[value(f) for f in fields])
 
 
 STAR_FIELDS = ("topic", "note")
 
 
-def star_deltas(events: DataFrame) -> DataFrame:
-    """One delta per paper from star events ``(event_id, ts, arxiv_id, op, topic, note)``."""
-    op = F.col("op")
-    mine = events.where(op.isin("star", "star_replace", "unstar"))
-    mine = mine.withColumn("note", F.when(op == "star", F.col("note")))
-    slices = slice_deltas(mine, ["arxiv_id"], op == "unstar", op == "star_replace", STAR_FIELDS)
-    return combine(slices, ["arxiv_id"], "slice", STAR_FIELDS)
+STAR_KEY = ("arxiv_id",)
+
+
+def star_events(events: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Star events ``(event_id, ts, arxiv_id, op, topic, note)``, and which of them delete and start over."""
+    mine = events.where(F.col("op").isin("star", "star_replace", "unstar"))
+    mine = mine.withColumn("note", F.when(F.col("op") == "star", F.col("note")))
+    return mine, F.col("op") == "unstar", F.col("op") == "star_replace"
 
 
 def star_state(events: DataFrame) -> DataFrame:
@@ -96,28 +86,26 @@ def star_state(events: DataFrame) -> DataFrame:
     ``star`` keeps the first time and any earlier topic and note, ``star_replace``
     starts over without a note, ``unstar`` deletes.
     """
-    return present(star_deltas(events)).withColumnRenamed("first_ts", "starred_at")
-
+    mine, drop, replace = star_events(events)
+    whole = registers(mine, STAR_KEY, drop, replace, STAR_FIELDS)
+    return current(whole, put_places(mine, STAR_KEY, drop), STAR_KEY, STAR_FIELDS).withColumnRenamed("first_ts", "starred_at")
 
-def hide_deltas(events: DataFrame) -> DataFrame:
-    """Latest hide or unhide per paper: ``(arxiv_id, hidden, hidden_at)``.
 
-    Combinable aggregates, so no event list is ever gathered.
-    """
-    last = F.max_by(F.struct("op", "ts"), F.struct("ts", "event_id")).alias("e")
-    latest = events.where(F.col("op").isin("hide", "unhide")).groupBy("arxiv_id").agg(last)
-    return latest.select("arxiv_id", (F.col("e.op") == "hide").alias("hidden"), F.col("e.ts").alias("hidden_at"))
+def hide_registers(events: DataFrame) -> DataFrame:
+    """The last hide or unhide per paper, ``(arxiv_id, last)``; a maximum, like the registers above."""
+    mine = events.where(F.col("op").isin("hide", "unhide"))
+    return mine.groupBy("arxiv_id").agg(F.max(F.struct("ts", "event_id", "op")).alias("last"))
 
 
-def combine_hides(deltas: DataFrame, by: str) -> DataFrame:
-    """Hidden papers out of several deltas; the last one decides."""
-    last = F.max_by(F.struct("hidden", "hidden_at"), by).alias("e")
-    return deltas.groupBy("arxiv_id").agg(last).where("e.hidden").select("arxiv_id", "e.hidden_at")
+def hidden(parts: DataFrame) -> DataFrame:
+    """Hidden papers out of the registers of several folds."""
+    whole = parts.groupBy("arxiv_id").agg(F.max("last").alias("last"))
+    return whole.where(F.col("last.op") == "hide").select("arxiv_id", F.col("last.ts").alias("hidden_at"))
 
 
 def hide_state(events: DataFrame) -> DataFrame:
     """Hidden papers with the time of the last ``hide``; the latest event decides."""
-    return hide_deltas(events).where("hidden").drop("hidden")
+    return hidden(hide_registers(events))
 
 
 def note_problem() -> Column:
@@ -148,16 +136,16 @@ NOTE_KEY = ("arxiv_id", "note_id")
 NOTE_FIELDS = ("stage", "quote", "note", "updated_at")
 
 
-def note_deltas(events: DataFrame) -> DataFrame:
-    """One delta per note from accepted events."""
-    staged = valid_notes(events).withColumn("updated_at", F.col("ts"))
-    slices = slice_deltas(staged, NOTE_KEY, F.col("op") == "delete", F.lit(False), NOTE_FIELDS)
-    return combine(slices, NOTE_KEY, "slice", NOTE_FIELDS)
+def note_events(events: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Accepted note events, and which of them delete and start over (none does)."""
+    return valid_notes(events).withColumn("updated_at", F.col("ts")), F.col("op") == "delete", F.lit(False)
 
 
 def annotation_state(events: DataFrame) -> DataFrame:
     """Notes per (paper, note): creation time survives updates, a delete forgets it."""
-    return present(note_deltas(events)).withColumnRenamed("first_ts", "created_at")
+    mine, drop, replace = note_events(events)
+    whole = registers(mine, NOTE_KEY, drop, replace, NOTE_FIELDS)
+    return current(whole, put_places(mine, NOTE_KEY, drop), NOTE_KEY, NOTE_FIELDS).withColumnRenamed("first_ts", "created_at")
 
 
 def newest_notes(notes: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ def select(
     papers: DataFrame,
     conf: TriageConfig,
     run_ts: datetime,
+    *,
     manifest: DataFrame | None = None,
     window: tuple[datetime, datetime, int] | None = None,
     replies: DataFrame | None = None,

@@ -290,7 +290,7 @@ def test_whole_run(spark):
     assert page.index("Alpha") < page.index("2401.00002") < page.index("2401.00000") < page.index("Beta")
     assert "a, b, c et al. · U +1" in page and "3 篇论文" in page
     # a second run on the same papers replaces records, and the manifest stops it
-    again = triage.select(papers, conf, NOW.replace(month=2), sinks.current(spark, f"{path}/analyses"))
+    again = triage.select(papers, conf, NOW.replace(month=2), manifest=sinks.current(spark, f"{path}/analyses"))
     assert again.count() == 0
     later = triage.publish(done, path, conf, "m2", NOW + timedelta(days=1))
     assert later.count() == 3 and {r.model for r in later.collect()} == {"m2"}

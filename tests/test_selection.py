@@ -136,7 +136,7 @@ def test_first_window_wins_in_backfill(spark, seed):
     rows = random_rows(seed + 10)
     window = (T0, T0 + timedelta(days=20), 7)
     manifest = spark.createDataFrame([(r[0],) for r in rows[:9]], "arxiv_id string")
-    got = triage.select(papers(spark, rows), conf(dimensions=DIMS), T0, manifest, window, 3)
+    got = triage.select(papers(spark, rows), conf(dimensions=DIMS), T0, manifest=manifest, window=window)
     want = sequential(rows, MATCH, passes, [(0, 7), (7, 14), (14, 20)], None, {r[0] for r in rows[:9]})
     assert sorted((r.arxiv_id, r.window_idx, r.topic_idx) for r in got.collect()) == want
 
@@ -145,7 +145,7 @@ def test_first_window_wins_in_backfill(spark, seed):
 def test_paper_limit_is_a_fold(spark, limit):
     rows = random_rows(21)
     window = (T0, T0 + timedelta(days=20), 10)
-    got = triage.select(papers(spark, rows), conf(dimensions=DIMS, paper_limit=limit), T0, None, window)
+    got = triage.select(papers(spark, rows), conf(dimensions=DIMS, paper_limit=limit), T0, window=window)
     want = sequential(rows, MATCH, passes, [(0, 10), (10, 20)], limit)
     assert sorted((r.arxiv_id, r.window_idx, r.topic_idx) for r in got.collect()) == want
 
@@ -211,8 +211,8 @@ def test_limit_keeps_every_window_and_uses_replies(spark):
     window = (T0, T0 + timedelta(days=20), 5)
     best = '{"topic_alignment":{"score":100},"methodology_fit":{"score":100},"novelty":{"score":100},"experiment_completeness":{"score":100}}'
     replies = rows.select("arxiv_id", F.explode(F.sequence(F.lit(0), F.lit(len(TOPICS) - 1))).alias("topic_idx"), F.lit(best).alias("reply"))
-    limited = triage.select(rows, conf(paper_limit=10_000), T0, None, window, replies).collect()
-    free = triage.select(rows, conf(), T0, None, window, replies).collect()
+    limited = triage.select(rows, conf(paper_limit=10_000), T0, window=window, replies=replies).collect()
+    free = triage.select(rows, conf(), T0, window=window, replies=replies).collect()
     assert {r.window_idx for r in limited} == {r.window_idx for r in free} and len({r.window_idx for r in free}) > 1
     assert sorted(r.arxiv_id for r in limited) == sorted(r.arxiv_id for r in free)
 

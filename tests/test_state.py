@@ -117,19 +117,44 @@ def test_anchor(spark):
     assert got == {"1": (1, False), "2": (None, True), "3": (None, True)}
 
 
-def test_streamed_stars_equal_replay(spark):
-    rows = sorted(star_events(5), key=lambda r: (r[1], r[0]))
-    landing, out, ck = (shared_dir(spark, n) for n in ("landing", "stars", "ck"))
-    for i in range(0, len(rows), 90):
-        spark.createDataFrame(rows[i : i + 90], EVENTS).coalesce(1).write.mode("append").parquet(landing)
-    SF.run_until_done(SS.run_star_stream(SF.file_stream(spark, landing, EVENTS, 1), out, ck))
-    want = replay_stars(rows)
-    got = {r.arxiv_id: (r.starred_at, r.topic, r.note) for r in SS.star_state(spark, out).collect()}
-    assert got == want
-    # compacted deltas give the same state and more events may follow
-    target = shared_dir(spark, "compact")
-    SS.compact(spark, out, target, ["arxiv_id"], state.STAR_FIELDS)
-    assert {r.arxiv_id: (r.starred_at, r.topic, r.note) for r in SS.star_state(spark, target).collect()} == want
+def in_files(spark, rows, schema, size):
+    landing = shared_dir(spark, "landing")
+    for i in range(0, len(rows), size):
+        spark.createDataFrame(rows[i : i + size], schema).coalesce(1).write.mode("append").parquet(landing)
+    return SF.file_stream(spark, landing, schema, 1)
+
+
+def stars_in(spark, out):
+    return {r.arxiv_id: (r.starred_at, r.topic, r.note) for r in SS.star_state(spark, out).collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_streamed_stars_in_any_order(spark, seed):
+    rows = star_events(5 + seed)
+    random.Random(seed).shuffle(rows)
+    rows += rows[::7]  # some arrive twice
+    out, ck = shared_dir(spark, "stars"), shared_dir(spark, "ck")
+    SF.run_until_done(SS.run_star_stream(in_files(spark, rows, EVENTS, 120), out, ck))
+    want = replay_stars(set(rows))
+    assert stars_in(spark, out) == want
+    # folded batches give the same state, whatever the horizon, and newer events may follow
+    for hours in (0, 4, 20):
+        target = shared_dir(spark, "compact")
+        SS.compact(spark, out, target, state.STAR_KEY, state.STAR_FIELDS, T0 + timedelta(hours=hours))
+        assert stars_in(spark, target) == want
+        late = [(1000 + i, T0 + timedelta(hours=hours, minutes=i % 7), k, op, t, n) for i, (_, _, k, op, t, n) in enumerate(star_events(9, 40))]
+        SF.run_until_done(SS.run_star_stream(in_files(spark, late, EVENTS, 40), target, shared_dir(spark, "ck")))
+        assert stars_in(spark, target) == replay_stars({*rows, *late})
+    puts = spark.read.parquet(f"{target}/puts").where(F.col("ts") < F.lit(T0 + timedelta(hours=20)))
+    assert puts.groupBy("arxiv_id").count().where("count > 1").isEmpty()
+
+
+def test_hides_in_any_order(spark):
+    rows = star_events(11)
+    random.Random(1).shuffle(rows)
+    out, ck = shared_dir(spark, "hides"), shared_dir(spark, "ck")
+    SF.run_until_done(SS.run_hide_stream(in_files(spark, rows, EVENTS, 120), out, ck))
+    assert {r.arxiv_id: r.hidden_at for r in SS.hide_state(spark, out).collect()} == replay_hidden(rows)
 
 
 def test_streamed_hides_notes_and_chats(spark):
