@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.checks.inputs import CONF, TOPICS, page_for_paper, papers, view
+from paperloom.checks.inputs import BACKFILL, CONF, RUN_TS, TOPICS, page_for_paper, papers, view
+from paperloom.checks.q_select import WINDOWS
 from paperloom.checks.q_text import BRIEF, BRIEF_TEXT, FIGS, OFFLINE_TASKS, SENTENCES
 from paperloom.checks.registry import query
+from paperloom.config import TriageConfig
 from paperloom.functions import replies as RF
 from paperloom.functions.scoring import recommendation
 from paperloom.operators import analyses as A, candidates as C, figures as G, prompts as P, replies as R, selection as S
+from paperloom.plans import triage
 
 FENCED = "regexp_replace(trim(reply, ' ' || chr(10)), '(?i)^```(?:json)?\\s*|\\s*```$', '', 'g')"
 #: The reply as JSON text of an object, else null.
@@ -67,6 +70,46 @@ def reply_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("arxiv_id", "topic_idx", "from_reply", "score")
 
 
+def _limit_steps(limit: int) -> str:
+    """Windows and topics one after the other, each on what the earlier ones left."""
+    ctes, taken = [], []
+    for k, (w, t) in enumerate((w, t) for w in range(5) for t in range(len(TOPICS))):
+        gone = " UNION ALL ".join(f"SELECT arxiv_id FROM s{i}" for i in range(k)) or "SELECT '' AS arxiv_id"
+        ctes.append(
+            f"s{k} AS (SELECT * FROM (SELECT * FROM placed WHERE window_idx = {w} AND topic_idx = {t} AND arxiv_id NOT IN ({gone}) "
+            f"ORDER BY published DESC, arxiv_id LIMIT {limit}) x WHERE score >= 60)"
+        )
+        taken.append(f"SELECT arxiv_id, window_idx, topic_idx, score, from_reply FROM s{k}")
+    return ", ".join(ctes) + " " + " UNION ALL ".join(taken)
+
+
+@query(
+    "backfill_limit_selection",
+    f"""
+WITH r AS (SELECT arxiv_id, {DOC} AS doc FROM {{replies}}),
+j AS (SELECT s.arxiv_id, s.topic_idx, s.published, r.doc IS NOT NULL AS from_reply,
+  CASE WHEN doc IS NULL THEN d0 ELSE {SCORE.format(d='topic_alignment')} END AS a,
+  CASE WHEN doc IS NULL THEN d1 ELSE {SCORE.format(d='methodology_fit')} END AS b,
+  CASE WHEN doc IS NULL THEN d2 ELSE {SCORE.format(d='novelty')} END AS c,
+  CASE WHEN doc IS NULL THEN d3 ELSE {SCORE.format(d='experiment_coverage')} END AS d
+ FROM {{scored}} s LEFT JOIN r ON r.arxiv_id = s.arxiv_id WHERE s.arxiv_id NOT IN (SELECT arxiv_id FROM {{manifest}})),
+placed AS (SELECT w.window_idx, arxiv_id, topic_idx, published, from_reply, (0.35::DOUBLE * a + 0.25::DOUBLE * b + 0.2::DOUBLE * c
+  + 0.2::DOUBLE * d) / (0.35::DOUBLE + 0.25::DOUBLE + 0.2::DOUBLE + 0.2::DOUBLE) * 100.0::DOUBLE AS score
+ FROM j JOIN {WINDOWS} w ON CAST(published AS DATE) BETWEEN w.win_start AND w.win_end),
+{_limit_steps(12)}""",
+)
+def backfill_limit_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Five windows, a limit, earlier runs and, for every paper and topic, a broken reply and a later good one."""
+    base = view(spark, sf, "replies").withColumn("topic_idx", F.explode(F.sequence(F.lit(0), F.lit(len(TOPICS) - 1))))
+    tries = F.explode(F.array(*[F.struct(F.lit(k).alias("attempt"), x.alias("reply")) for k, x in ((2, F.col("reply")), (1, F.lit("{")))]))
+    replies = base.withColumn("_t", tries).select("arxiv_id", "topic_idx", "_t.attempt", "_t.reply")
+    conf = TriageConfig(**{**CONF.__dict__, "max_per_topic": None, "paper_limit": 12})
+    chosen = triage.select(
+        papers(spark, sf), conf, RUN_TS, manifest=view(spark, sf, "manifest"), window=BACKFILL, replies=replies
+    )
+    return chosen.select("arxiv_id", "window_idx", "topic_idx", "score", "from_reply")
+
+
 CORE_DOC = f"c AS (SELECT p.*, (SELECT {DOC} FROM {{core_replies}} r WHERE r.arxiv_id = p.arxiv_id) AS doc FROM {{papers}} p)"
 CORE_FIELDS = ", ".join(
     f"CASE WHEN doc IS NOT NULL THEN trim(coalesce({_get('$.' + a)}, 'No relevant information found'), ' ' || chr(10)) END AS {a}"

@@ -250,11 +250,8 @@ TAB_SQL = {
 }
 
 
-def _union_tabs(one) -> DataFrame:
-    first, *rest = [one(t).withColumn("tab", F.lit(t)) for t in V.TABS]
-    for df in rest:
-        first = first.unionByName(df)
-    return first
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    return V.marked(index(spark, sf), *states(spark, sf), WEEK_TS)
 
 
 @query(
@@ -266,10 +263,7 @@ def _union_tabs(one) -> DataFrame:
     ),
 )
 def tab_rows(spark: SparkSession, sf: str) -> DataFrame:
-    ix, (stars, hidden) = index(spark, sf), states(spark, sf)
-    return _union_tabs(
-        lambda t: V.with_star(V.tab(ix, stars, hidden, t, WEEK_TS), stars).select("arxiv_id", "starred")
-    )
+    return V.each_tab(_marked(spark, sf)).select("tab", "arxiv_id", "starred")
 
 
 @query(
@@ -293,8 +287,7 @@ def tab_counts(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def topic_facets(spark: SparkSession, sf: str) -> DataFrame:
-    ix, (stars, hidden) = index(spark, sf), states(spark, sf)
-    return _union_tabs(lambda t: V.facets(V.tab(ix, stars, hidden, t, WEEK_TS)))
+    return V.facets(V.each_tab(_marked(spark, sf)), "tab")
 
 
 @query(

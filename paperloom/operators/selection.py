@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from paperloom.config import Topic, TriageConfig, topics_df
 from paperloom.functions import ids, scoring
 from paperloom.functions.dates import day, instant
 from paperloom.operators.candidates import with_topics
-from paperloom.operators.ranking import first_per_key
+from paperloom.operators.ranking import first_per_key, top_per_group
 from paperloom.operators.shape import compute_once
-from paperloom.session import ensure_checkpoint_dir
+from paperloom.session import counted, materialise
 
 # The placeholder a topic without candidates gets.
 DEMO_ID_PREFIX = "demo-"
@@ -89,29 +88,31 @@ def assign(passed: DataFrame) -> DataFrame:
 def assign_with_limit(scored: DataFrame, conf: TriageConfig, limit: int) -> DataFrame:
     """The same with at most `limit` candidates looked at per window and topic.
 
-    The limit counts candidates that no earlier topic selected, so the windows that occur
-    and their topics are taken in order: one small job for each.  These jobs see ids,
-    dates and scores only; the chosen rows are met with their texts once, at the end.
-    What a step selects is checkpointed, so the lineage stays one step long and survives
-    lost executors.
+    The limit counts candidates that no earlier (window, topic) selected.  All of them
+    propose their head at once and each paper stays with its earliest proposal; heads
+    are drawn again without the papers that others hold, until nothing moves.  A step
+    depends on earlier ones only, so the first that was wrong is right a round later, and
+    the end is what taking the steps one by one would give; a round is one job for all.
+    Rounds see ids, dates and scores only and write at most `limit` rows a step; the
+    chosen rows are met with their texts once, at the end.
     """
     spark = scored.sparkSession
-    ensure_checkpoint_dir(spark)
-    scored = scored.checkpoint()
-    slim = scored.select("arxiv_id", "window_idx", "topic_idx", "published", "score")
-    windows = [r[0] for r in slim.select("window_idx").distinct().orderBy("window_idx").collect()]  # as many as windows
-    chosen: list[DataFrame] = []
-    for window in windows:
-        for topic in range(len(conf.topics)):
-            step = slim.where((F.col("window_idx") == window) & (F.col("topic_idx") == topic))
-            if chosen:
-                taken = reduce(DataFrame.union, [c.select("arxiv_id") for c in chosen])
-                step = step.join(taken, "arxiv_id", "left_anti").select(slim.columns)
-            head = step.orderBy(F.col("published").desc(), F.col("arxiv_id"), F.col("score").desc()).limit(limit)
-            chosen.append(passing(head, conf.pass_threshold).checkpoint())
-    if not chosen:
-        return scored.limit(0)
-    return scored.join(reduce(DataFrame.union, chosen), slim.columns, "left_semi").select(scored.columns)
+    slim = materialise(scored.select("arxiv_id", "window_idx", "topic_idx", "published", "score"), "candidates")
+    step = F.struct("window_idx", "topic_idx")
+    order = [F.col("published").desc(), F.col("arxiv_id"), F.col("score").desc()]
+    held = spark.createDataFrame([], T.StructType([slim.schema["arxiv_id"], T.StructField("holder", slim.select(step.alias("s")).schema["s"].dataType)]))
+    last = None
+    while True:
+        free = slim.join(counted(held), "arxiv_id", "left").where(F.col("holder").isNull() | (F.col("holder") >= step))
+        heads = top_per_group(free.select(slim.columns), ["window_idx", "topic_idx"], order, limit).select(slim.columns)
+        proposed = materialise(passing(heads, conf.pass_threshold), "proposed")
+        held = materialise(proposed.groupBy("arxiv_id").agg(F.min(step).alias("holder")), "held")
+        state = held.agg(F.count("*"), F.sum(F.xxhash64("arxiv_id", "holder").cast("decimal(38,0)"))).first()
+        if state == last:
+            break
+        last = state
+    chosen = proposed.join(held, "arxiv_id").where(F.col("holder") == step).select(slim.columns)
+    return scored.join(counted(chosen.distinct()), slim.columns, "left_semi").select(scored.columns)
 
 
 def preview(candidates: DataFrame) -> DataFrame:

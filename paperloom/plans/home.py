@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from paperloom.operators import analyses as A
 from paperloom.operators import views as V
+from paperloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -27,12 +28,16 @@ def home(
     tab: str = "all",
     topic: str | None = None,
 ) -> Home:
-    """Facets come before the topic choice, so they say what a choice would show."""
-    before = V.tab(index, stars, hidden, tab, run_ts)
-    rows = V.with_star(V.by_topic(before, topic), stars).orderBy(*A.newest_first())
+    """Facets come before the topic choice, so they say what a choice would show.
+
+    Index and state are met once, in the shared folder; every part reads that.
+    """
+    marked = materialise(V.marked(index, stars, hidden, run_ts), "marked")
+    before = V.in_tab(marked, tab)
+    rows = V.by_topic(before, topic)
     return Home(
-        rows=rows,
+        rows=rows.drop("tabs").orderBy(*A.newest_first()),
         facets=V.facets_sorted(before),
-        counts=V.tab_counts(index, stars, hidden, run_ts),
-        dates=V.date_range(V.by_topic(before, topic)),
+        counts=V.counts(marked, stars, hidden),
+        dates=V.date_range(rows),
     )
