@@ -94,6 +94,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     python_ready(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()  # a number or a text
 
     def items(batch):
         return [
@@ -129,7 +130,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return out
 
     texts = map_batches(
-        docs.select("doc_id", "text"), candidates, "doc_id long, words array<long>, hits array<struct<h: long, at: long>>"
+        docs.select("doc_id", "text"), candidates, f"doc_id {kind}, words array<long>, hits array<struct<h: long, at: long>>"
     )
     texts = materialise(texts.withColumn("row", F.xxhash64("doc_id", "words")), "candidates")
     hits = texts.select("row", F.explode("hits").alias("hit")).select("row", "hit.h", F.col("hit.at").alias("doc_at"))
@@ -154,6 +155,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out.append((doc_id, item_id, end - begin, matched))
         return out
 
-    verified = map_batches(pairs, verify, "doc_id long, item_id long, n_words long, n_match long")
+    verified = map_batches(pairs, verify, f"doc_id {kind}, item_id long, n_words long, n_match long")
     best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "n_match")).alias("best"))
     return best.select("doc_id", "item_id", "best.n_words", "best.n_match")

@@ -24,32 +24,40 @@ def _fingerprint(shingles: np.ndarray) -> str | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest() if len(shingles) else None
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+
+
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, fp, keys``: size, fingerprint and band keys of each shingle set."""
+    """``doc_id, row, n_shingles, fp, keys``: size, fingerprint and band keys of each shingle set.
+
+    ``row`` is a hash of id and text, by which the text is found again where ids are null or repeated.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch):
         out = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        for doc_id, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
             s = shingle_set(text, k)
             keys = band_keys(sketch(s, bands * rows), bands).view(np.int64).tolist() if len(s) else None
-            out.append((doc_id, len(s), _fingerprint(s), keys))
+            out.append((doc_id, row, len(s), _fingerprint(s), keys))
         return out
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, fp string, keys array<long>")
+    return map_batches(_rows(docs), run, f"doc_id {kind}, row long, n_shingles long, fp string, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``fp, shingles`` of the fingerprints in `wanted` (doc_id, fp), from the texts again."""
+    """``fp, shingles`` of the fingerprints in `wanted` (row, fp), from the texts again."""
 
     def run(batch):
         out = []
         for text, fp in zip(batch["text"], batch["fp"]):
             s = shingle_set(text, k)
-            if _fingerprint(s) == fp:  # a repeated doc_id may carry another text
+            if _fingerprint(s) == fp:  # two rows may share a hash
                 out.append((fp, s.view(np.int64).tolist()))
         return out
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+    texts = _rows(docs).join(wanted, "row")
     return map_batches(texts, run, "fp string, shingles array<long>").dropDuplicates(["fp"])
 
 
@@ -109,14 +117,14 @@ def links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> DataFrame
     python_ready(docs.sparkSession)
     reps = materialise(
         signed.where("fp is not null").groupBy("fp").agg(
-            F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys")
+            F.min("row").alias("row"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys")
         ),
         "reps",
     )
     members = reps.select("fp", F.explode("keys").alias("bucket"))
     pivots = members.groupBy("bucket").agg(F.min("fp").alias("pivot"), F.count("*").alias("m")).where("m > 1")
     members = materialise(members.join(pivots, "bucket"), "members")
-    wanted = reps.join(members.select("fp").distinct(), "fp", "left_semi").select("doc_id", "fp")
+    wanted = reps.join(members.select("fp").distinct(), "fp", "left_semi").select("row", "fp")
     sets = materialise(_sets(docs, wanted, k), "sets")
 
     pairs = members.where("fp <> pivot").select("fp", "pivot").distinct()
@@ -180,7 +188,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     k-word shingles (A-Z lower-cased); component_id is the smallest doc_id that links
     reach.  A null text, or one without words, has an empty set and is linked with
     nothing.  Equal texts share a set and thus a component.  Rows that repeat a doc_id
-    are judged one by one and get the same columns.  A null doc_id can be linked, never
+    are judged one by one and get the same columns.  doc_id may be a number or a text.  A null one can be linked, never
     names a component unless all its members are null, and counts as kept then.
     """
     signed = materialise(signatures(docs, k), "signatures")

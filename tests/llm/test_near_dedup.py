@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
 from paperloom.llm.near_dedup import near_dedup
@@ -95,3 +96,16 @@ def test_components_of_a_long_path(spark):
     found = dict(connected_components(spark.createDataFrame(edges, "u string, v string")).collect())
     assert {found[f"{i:04d}"] for i in range(61)} == {"0000"} and found["b"] == "a"
     assert connected_components(spark.createDataFrame([], "u string, v string")).collect() == []
+
+
+def test_rows_without_an_id_are_linked(spark):
+    rng = random.Random(12)
+    base = words(rng, 80, 10**9)
+    near = lambda k: " ".join([*base[:k], "other", *base[k + 1 :]])
+    rows = [(None, near(40)), (5, " ".join(base)), (None, near(79)), (None, near(79)), (6, "alone " + " ".join(words(rng, 50, 10**9))), (None, "x y")]
+    rows = [(i, t, "en", "s") for i, t in rows]
+    assert run(spark, rows) == brute(rows, 4, 80)
+    found = near_dedup(frame(spark, rows), 4, 80).collect()
+    assert sorted(str(r.component_id) for r in found) == ["5", "5", "5", "5", "6", "None"]
+    named = frame(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert sorted(str(r.component_id) for r in near_dedup(named, 4, 80).collect()) == ["None", "d5", "d5", "d5", "d5", "d6"]
