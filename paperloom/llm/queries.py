@@ -204,11 +204,12 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_hilbert_shards")
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    docs = docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)
-    sharded = sharding.hilbert_shards(docs, ["size", "lang", "source"], n_shards=40, law="rows")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return sharded.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"), crc.alias("text_crc32"), "lang", "source"
+    )  # texts stay where they are
+    sharded = sharding.hilbert_shards(docs, ["size", "lang", "source"], n_shards=40, law="rows")
+    return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 # 11: spelling variants ---------------------------------------------------------------------

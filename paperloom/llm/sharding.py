@@ -83,13 +83,17 @@ def hilbert_shards(
         return pd.Series(hilbert_index([cells[c].to_numpy() for c in cells.columns], BITS))
 
     cells = F.struct(*[c.cast("long").alias(f"c{i}") for i, c in enumerate(_quantised(docs, dims, BITS))])
-    keyed = docs.withColumn("_curve", index(cells)).withColumn("_spread", F.xxhash64(*ids))
-    rows = numbered(keyed, ["_curve", "_spread", *ids], size if law == "bytes" else None, "hilbert")
-    total = rows.agg(F.sum(size) if law == "bytes" else F.count("*")).first()[0] or 0
+    # the input's columns stay in a struct, so that none meets a helper's name
+    weight = F.col(size).cast("long") if law == "bytes" else F.lit(1).cast("long")
+    keys = [F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)]
+    inner = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(inner.alias("_row_in"), index(cells).alias("_curve"), F.xxhash64(*ids).alias("_spread"), weight.alias("_size"), *keys)
+    rows = numbered(keyed, ["_curve", "_spread", *[f"_id{i}" for i in range(len(ids))]], "_size" if law == "bytes" else None, "hilbert")
+    total = rows.agg(F.sum("_size")).first()[0] or 0
     if law == "rows":
         shard = F.expr(f"_start * {n_shards} div {max(total, 1)}")
     else:  # a row belongs where its middle lies
-        shard = F.least(F.lit(n_shards - 1), F.expr(f"(2 * _start + {size}) * {n_shards} div {2 * max(total, 1)}"))
+        shard = F.least(F.lit(n_shards - 1), F.expr(f"(2 * _start + _size) * {n_shards} div {2 * max(total, 1)}"))
     rows = rows.withColumn("shard", shard.cast("int"))
     if law == "rows":
         first = F.ceil(F.col("shard").cast("decimal(20,0)") * F.lit(total).cast("decimal(18,0)") / F.lit(n_shards))
@@ -102,7 +106,7 @@ def hilbert_shards(
         firsts = firsts.withColumn("_gone", F.coalesce(before, F.lit(0))).drop("_n")
         rows = rows.join(firsts, ["shard", "_part"]).withColumn("slot", F.col("_gone") + F.col("_row") - F.col("_low"))
     return rows.select(
-        *docs.columns, F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        "_row_in.*", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 

@@ -248,3 +248,11 @@ def test_stages_on_awkward_and_empty_tables(spark):
             assert out.columns == docs.columns and out.count() <= len(rows)
     once = stages.near_duplicates(spark, frame(spark, AWKWARD), sf)
     assert sorted(r.doc_id for r in once.collect() if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 8, 9, 10]
+
+
+def test_shards_keep_columns_with_the_helpers_names(spark):
+    names = ["doc_id", "lang", "_part", "_row", "_start", "_curve", "_spread", "_size", "_row_in", "_id0", "row"]
+    docs = spark.createDataFrame([(i, "en", *[f"{n}{i}" for n in names[2:]]) for i in range(30)], names)
+    for law in ("rows", "bytes"):
+        out = sharding.hilbert_shards(docs, ["doc_id", "lang"], 4, law, "doc_id").select(names).collect()
+        assert sorted(map(tuple, out)) == sorted(map(tuple, docs.collect()))
