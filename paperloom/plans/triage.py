@@ -163,7 +163,8 @@ def publish(
 ) -> DataFrame:
     """Store records and index, write the digest of this run, return the stored table."""
     spark = records.sparkSession
-    run = f"{path}/runs/{run_ts:%Y%m%dT%H%M%S}"
+    tag = f"{run_ts:%Y%m%dT%H%M%S}"  # a run that is published again replaces what it stored
+    run = f"{path}/runs/{tag}"
     # order of the run: window, topic, newest first; the id only has to grow with it
     ordered = records.orderBy("window_idx", "topic_idx", F.col("published").desc(), "arxiv_id").withColumn(
         "pos", F.monotonically_increasing_id()
@@ -171,8 +172,8 @@ def publish(
     payload = A.to_payload(ordered, model, run_ts, keep_body, "pos")
     payload.write.mode("overwrite").parquet(run)  # computed once, read by all three outputs
     fresh = spark.read.parquet(run)
-    stored = sinks.upsert_analyses(fresh.drop("pos"), f"{path}/analyses")
-    sinks.update_index(fresh, f"{path}/index")
+    stored = sinks.upsert_analyses(fresh.drop("pos"), f"{path}/analyses", tag=tag)
+    sinks.update_index(fresh, f"{path}/index", tag=tag)
     lines = digest.digest_lines(fresh, conf.language, run_ts, conf.site_base_url)
-    sinks.write_digest(lines, f"{path}/digest/{run_ts:%Y%m%dT%H%M%S}")
+    sinks.write_digest(lines, f"{path}/digest/{tag}")
     return stored

@@ -1,12 +1,14 @@
 """Writers.
 
-A store is a folder of numbered parts: ``base=N`` holds all rows up to N, ``delta=M``
-the rows written as M.  Adding costs what is added; readers take the newest row per
-key.  A part counts once its commit marker is there, so a failed write is never seen.
+A table store is a versioned table (`sources.store`): a base holds all rows up to its number,
+later parts what was written since.  Adding costs what is added; readers take the newest
+row per key.  A part counts once a version names it, so a failed write is never seen, and
+writers at once lose nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,75 +18,50 @@ from paperloom.session import materialise
 from paperloom.operators import analyses as A
 from paperloom.operators import archive
 from paperloom.operators.ranking import first_per_key
+from paperloom.sources import store
 
 KEY = ("arxiv_id",)
 
 
-def parts(spark: SparkSession, path: str) -> dict[str, list[int]]:
-    """Committed part numbers by kind."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: dict[str, list[int]] = {"base": [], "delta": []}
-    if not fs.exists(root):
-        return found
-    for status in fs.listStatus(root):
-        kind, _, number = status.getPath().getName().partition("=")
-        if kind in found and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found[kind].append(int(number))
-    return found
-
-
-def _live(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Parts that make up the current state, oldest first."""
-    found = parts(spark, path)
-    base = max(found["base"], default=None)
-    start = [] if base is None else [("base", base)]
-    return start + [("delta", d) for d in sorted(found["delta"]) if base is None or d > base]
-
-
-def append(df: DataFrame, path: str, number: int | None = None) -> int:
-    """Add rows as the next part; a given number makes a repeated write replace itself."""
-    if number is None:
-        live = _live(df.sparkSession, path)
-        number = live[-1][1] + 1 if live else 0
-    df.write.mode("overwrite").parquet(f"{path}/delta={number}")
-    return number
-
-
-def current(spark: SparkSession, path: str, keys: Sequence[str] = KEY) -> DataFrame | None:
-    """Newest row per key over the live parts, null for an empty store."""
-    live = _live(spark, path)
-    if not live:
-        return None
-    frames = [spark.read.parquet(f"{path}/{kind}={n}").withColumn("_part", F.lit(n)) for kind, n in live]
-    if len(frames) == 1 and live[0][0] == "base":
-        return frames[0].drop("_part")
+def append(df: DataFrame, path: str, number: int | None = None, tag: str | None = None) -> int:
+    """Add rows as the next part; a given number or tag makes a repeated write replace itself."""
+    return store.add(df.sparkSession, path, store.write(df, path), number, tag)
+
+
+def _newest(spark: SparkSession, path: str, parts: store.Parts, keys: Sequence[str]) -> DataFrame:
+    frames = [spark.read.parquet(f"{path}/{p.folder}").withColumn("_part", F.lit(p.number)).withColumn("_base", F.lit(p.base)) for p in parts]
+    if len(parts) == 1 and parts[0].base:
+        return frames[0].drop("_part", "_base")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return first_per_key(rows, keys, [F.col("_part").desc()]).drop("_part")
+    # a part written again under the number that a base has taken is newer than the base
+    return first_per_key(rows, keys, [F.col("_part").desc(), F.col("_base").asc()]).drop("_part", "_base")
+
+
+def current(spark: SparkSession, path: str, keys: Sequence[str] = KEY, version: int | None = None) -> DataFrame | None:
+    """Newest row per key in the newest (or a given) version, null for an empty store."""
+    parts = store.live(spark, path, version)[1]
+    return _newest(spark, path, parts, keys) if parts else None
 
 
 def compact(spark: SparkSession, path: str, keys: Sequence[str] = KEY) -> int | None:
-    """Fold all live parts into a base with the last part's number."""
-    live = _live(spark, path)
-    rows = current(spark, path, keys)
-    if rows is None:
+    """Fold all parts into a base with the last part's number; parts added meanwhile stay."""
+    parts = store.live(spark, path)[1]
+    if not parts:
         return None
-    rows.write.mode("overwrite").parquet(f"{path}/base={live[-1][1]}")
-    return live[-1][1]
+    return store.fold(spark, path, parts, store.write(_newest(spark, path, parts, keys), path))
 
 
-def upsert_analyses(new: DataFrame, path: str, number: int | None = None) -> DataFrame:
+def upsert_analyses(new: DataFrame, path: str, number: int | None = None, tag: str | None = None) -> DataFrame:
     """Add records, a new one replacing the stored one of its id; returns the current table."""
-    append(A.latest(new), path, number)
+    append(A.latest(new), path, number, tag)
     table = current(new.sparkSession, path)
     assert table is not None
     return table
 
 
-def update_index(new: DataFrame, path: str, number: int | None = None) -> int:
+def update_index(new: DataFrame, path: str, number: int | None = None, tag: str | None = None) -> int:
     """Add the slim rows of new records to the index store."""
-    return append(A.to_index(A.latest(new)), path, number)
+    return append(A.to_index(A.latest(new)), path, number, tag)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
@@ -94,11 +71,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_index(analyses: DataFrame, path: str) -> None:
-    """Rebuild the whole index as one base part."""
+    """Rebuild the whole index as one base; what others add meanwhile stays on top of it."""
     spark = analyses.sparkSession
-    live = _live(spark, path)
-    number = live[-1][1] + 1 if live else 0
-    A.to_index(analyses).orderBy(*A.newest_first()).write.mode("overwrite").parquet(f"{path}/base={number}")
+    parts = store.live(spark, path)[1]
+    store.fold(spark, path, parts, store.write(A.to_index(analyses).orderBy(*A.newest_first()), path))
 
 
 def write_json_records(payload: DataFrame, path: str) -> None:
@@ -109,19 +85,25 @@ def write_json_records(payload: DataFrame, path: str) -> None:
 def write_snapshot(state: DataFrame, path: str, keys: Sequence[str], kind: str) -> DataFrame:
     """Write the rows that changed since the last snapshot and return the summary.
 
-    The folder of a kind holds the full state for the next comparison and the changed
-    rows as JSON, both under the number of the snapshot.
+    The folder of a kind holds the full state as a versioned table for the next comparison,
+    and the changed rows as JSON under the number of the snapshot.  Raises `store.Conflict`
+    where another snapshot was committed since this one read the last: then repeat it.
     """
     spark = state.sparkSession
-    states = f"{path}/{kind}/state"
-    last = max(parts(spark, states)["base"], default=None)
-    previous = state.limit(0) if last is None else spark.read.parquet(f"{states}/base={last}")
-    number = 0 if last is None else last + 1
-    # changes first: a snapshot counts once its state is there, so a crash in between repeats both
-    state = materialise(state, "snapshot")
+    root = f"{path}/{kind}"
+    states = f"{root}/state"
+    last, parts = store.live(spark, states)
+    if parts:  # the last snapshot may have ended between its commit and the naming of its changes
+        store.place(spark, root, parts[-1].info["changes"], f"changes/{last}")
+    previous = spark.read.parquet(f"{states}/{parts[-1].folder}") if parts else state.limit(0)
+    folder = store.write(state, states)
+    state = spark.read.parquet(f"{states}/{folder}")
     found = materialise(archive.changes(state, previous, keys), "changes")
-    found.write.mode("overwrite").json(f"{path}/{kind}/changes/{number}")
-    state.write.mode("overwrite").parquet(f"{states}/base={number}")
+    draft = f"drafts/{uuid.uuid4().hex}"
+    found.write.json(f"{root}/{draft}")
+    part = store.Part(last + 1, folder, True, None, {"changes": draft})
+    store.commit(spark, states, lambda _: [part], expected=last)
+    store.place(spark, root, draft, f"changes/{last + 1}")
     return state.agg(
         F.lit(kind).alias("kind"), F.count("*").alias("checked"), F.lit(found.count()).alias("committed"), F.lit(True).alias("ok")
     )

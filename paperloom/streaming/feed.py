@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators.ranking import first_per_key
+from paperloom.streaming import seen
 
 BATCH = "batch"
 
@@ -25,16 +26,6 @@ def append_once(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
-def batches_before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """What earlier micro-batches wrote; the batch itself is left out, so a retry sees the same."""
-    return (
-        spark.read.schema(f"{schema}, {BATCH} bigint")
-        .option("basePath", path)
-        .parquet(path)
-        .where(F.col(BATCH) < batch_id)
-    )
-
-
 def run_incremental(
     stream: DataFrame,
     out: str,
@@ -42,26 +33,27 @@ def run_incremental(
     key: str,
     order: list[str],
     step: Callable[[DataFrame], DataFrame],
+    buckets: int = seen.BUCKETS,
+    fan: int = seen.FAN,
 ) -> StreamingQuery:
     """Process what arrived since the last run, then stop.
 
     A key is handled once over all batches: a batch keeps the first row per key and
-    drops keys that earlier batches wrote.  `step` turns the new rows into output
-    rows and must keep `key`.
+    drops keys that earlier batches stored (`streaming.seen`).  `step` turns the new rows into
+    output rows and must keep `key`.  Rows with a null key are handled as one in every batch.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = first_per_key(batch, [key], [F.col(c) for c in order])
-        if batch_id > 0:
-            done = batches_before(spark, f"{out}/keys", f"{key} {new.schema[key].dataType.simpleString()}", batch_id)
-            new = new.join(done.select(key), key, "left_anti").select(batch.columns)
-        new = new.persist()  # written twice below; lost blocks are computed again
-        try:
-            append_once(step(new), f"{out}/rows", batch_id)
-            append_once(new.select(key), f"{out}/keys", batch_id)
-        finally:
-            new.unpersist()
+        spark, keys = batch.sparkSession, f"{out}/keys"
+        # one batch at a time: its rows are read several times below, from the shared folder
+        first_per_key(batch, [key], [F.col(c) for c in order]).write.mode("overwrite").parquet(f"{out}/incoming")
+        new = spark.read.schema(batch.schema).parquet(f"{out}/incoming")
+        seen.merge(spark, keys, key, batch_id, fan)
+        done = seen.find(new.select(key), keys, batch_id, f"{out}/maybe")
+        if done is not None:
+            new = new.join(done, key, "left_anti").select(batch.columns)
+        append_once(step(new), f"{out}/rows", batch_id)
+        seen.add(new.select(key), keys, batch_id, buckets)
 
     return (
         stream.writeStream.foreachBatch(handle)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import archive, chats, state
 from paperloom.session import shared_dir
-from paperloom.sources import sinks
-from paperloom.streaming import feed as SF, state as SS
+from paperloom.sources import sinks, store
+from paperloom.streaming import feed as SF, seen, state as SS
 
 T0 = datetime(2024, 1, 1)
 EVENTS = "event_id bigint, ts timestamp, arxiv_id string, op string, topic string, note string"
@@ -257,3 +257,25 @@ def test_snapshot_names_what_was_removed(spark):
     assert tuple(sinks.write_snapshot(later, path, ["arxiv_id"], "stars").first()) == ("stars", 2, 3, True)
     rows = {r.arxiv_id: (r.op, r.note) for r in spark.read.json(f"{path}/stars/changes/1").collect()}
     assert rows == {"a": ("removed", "1"), "b": ("changed", "2"), "c": ("added", "3")}
+
+
+def test_seen_keys_over_many_batches_open_few_buckets(spark):
+    out = shared_dir(spark, "seen")
+    scratch = shared_dir(spark, "maybe")
+    keys = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("k"), "id").alias("k"))
+    for batch in range(7):
+        seen.merge(spark, out, "k", batch, fan=3)
+        # empty batches (3 and 4) leave runs without rows
+        seen.add(keys(0, 0) if batch in (3, 4) else keys(batch * 100, batch * 100 + 100), out, batch, buckets=8)
+    runs = store.live(spark, out)[1]
+    assert [(p.info["level"], p.info["n"]) for p in runs] == [(1, 300), (1, 100), (0, 100)]
+    found = lambda df, batch: set() if (r := seen.find(df, out, batch, scratch)) is None else {x.k for x in r.collect()}
+    assert found(keys(50, 900), 7) == {f"k{i}" for i in [*range(50, 300), *range(500, 700)]}
+    assert found(keys(600, 700), 6) == set()  # its own run does not count when batch 6 is repeated
+    # keys that were never stored: hardly any passes the filters, so hardly any bucket is opened
+    assert found(keys(5_000, 6_000), 7) == set()
+    assert spark.read.parquet(scratch).select("k").distinct().count() < 150
+    seen.add(keys(600, 650), out, 6)
+    assert found(keys(600, 700), 7) == {f"k{i}" for i in range(600, 650)}
+    nulls = spark.createDataFrame([(None,), ("k1",)], "k string")
+    assert found(nulls, 7) == {"k1"}
