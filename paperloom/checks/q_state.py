@@ -9,7 +9,7 @@ from paperloom.checks.q_views import STATES, analyses
 from paperloom.checks.registry import query
 from paperloom.operators import analyses as A, archive, candidates, chats, prompts, state
 from paperloom.session import shared_dir
-from paperloom.sources import records
+from paperloom.sources import records, sinks
 from paperloom.streaming import feed as stream_feed, state as stream_state
 
 TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"

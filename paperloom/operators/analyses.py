@@ -12,7 +12,7 @@ from paperloom.functions.dates import instant
 from paperloom.functions.text import filled, strip
 from paperloom.operators.figures import legacy_figure
 from paperloom.operators.prompts import ASPECTS
-from paperloom.operators.ranking import first_per_key
+from paperloom.operators.ranking import first_per_key, positioned
 from paperloom.operators.shape import explode_rows
 
 # Stored time format, index width, section order.
@@ -166,6 +166,11 @@ def newest_first() -> list[Column]:
     return [F.coalesce("generated_at", F.lit("")).desc(), F.coalesce("arxiv_id", F.lit("")).desc()]
 
 
+def index_positions(index: DataFrame) -> DataFrame:
+    """Index rows with their place in index order."""
+    return positioned(index, newest_first())
+
+
 def recent_analyses(index: DataFrame, n: int = 50, topic: str | None = None) -> DataFrame:
     rows = index.where(F.col("topic") == topic) if topic else index
     return rows.orderBy(*newest_first()).limit(n)

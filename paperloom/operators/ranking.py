@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from paperloom.session import materialise
+
 #: Ways a hot group is split before its final pass.
 SPREAD = 64
 
@@ -57,3 +59,27 @@ def number_within(
         .withColumn(name, (F.col("_shift") + F.col("_pos") - 1).cast("bigint"))
         .drop("_shift", "_pos")
     )
+
+
+def positioned(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """0-based place of every row in the whole order, without one task that sees all rows.
+
+    Rows are dealt by ranges of `order` and written sorted, with their place inside the
+    range; the sizes of earlier ranges (one number per partition) are added.  Rows that are
+    equal in `order` lie in one range, in no given sequence: let it end in a key.
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the upper bits of this number are the partition, the lower 33 count within it
+    rows = materialise(dealt.withColumn("_at", F.monotonically_increasing_id()), "positions")
+    piece, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(piece.alias("_piece")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (
+        rows.withColumn("_piece", piece)
+        .join(F.broadcast(starts), "_piece")  # at most one row per partition
+        .withColumn(name, F.col("_start") + inside)
+        .drop("_piece", "_start", "_at")
+    )

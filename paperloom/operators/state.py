@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions.text import strip
+from paperloom.operators.ranking import positioned
 
 # Sections a note may belong to.
 NOTE_STAGES = ("relevance", "brief", "problem", "solution", "methodology", "experiments", "conclusion", "qa")
@@ -148,8 +149,17 @@ def annotation_state(events: DataFrame) -> DataFrame:
     return current(whole, put_places(mine, NOTE_KEY, drop), NOTE_KEY, NOTE_FIELDS).withColumnRenamed("first_ts", "created_at")
 
 
+def _newest() -> list[Column]:
+    return [F.col("created_at").desc(), F.col("arxiv_id"), F.col("note_id")]
+
+
 def newest_notes(notes: DataFrame) -> DataFrame:
-    return notes.orderBy(F.col("created_at").desc(), "arxiv_id", "note_id")
+    return notes.orderBy(*_newest())
+
+
+def note_positions(notes: DataFrame) -> DataFrame:
+    """Notes with their place among all, newest first."""
+    return positioned(notes, _newest())
 
 
 def state_list(state: DataFrame) -> DataFrame:

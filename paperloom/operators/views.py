@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions.dates import instant, range_label
 from paperloom.functions.text import filled
+from paperloom.operators.ranking import positioned
 
 WEEK = "interval 7 days"
 TABS = ("all", "weekly", "starred", "hidden")
@@ -96,9 +97,18 @@ def facets(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def _by_label() -> list[Column]:
+    return [F.collate("label", "UNICODE"), F.col("topic")]
+
+
 def facets_sorted(rows: DataFrame) -> DataFrame:
     """Facets by label in dictionary order."""
-    return facets(rows).orderBy(F.collate("label", "UNICODE"), "topic")
+    return facets(rows).orderBy(*_by_label())
+
+
+def facet_positions(rows: DataFrame) -> DataFrame:
+    """Facets with their place in that order."""
+    return positioned(facets(rows), _by_label())
 
 
 def tab_counts(index: DataFrame, stars: DataFrame, hidden: DataFrame, run_ts: datetime) -> DataFrame:

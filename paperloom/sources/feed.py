@@ -20,9 +20,43 @@ ENTRY_SCHEMA = (
 UNKNOWN_AUTHORS = ("Unknown",)
 
 
+#: Why an entry is refused.
+BROKEN, UNFINISHED, WITHOUT_ID = "broken entry", "unfinished entry", "no id"
+
+
+def checked_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Every entry of the files as ``file, xml, e, reason``; `reason` is null where it can be used.
+
+    Files are cut where entries begin, so large ones are read by many tasks and an entry
+    that is no XML costs only itself.  Text before the first entry of a file is left out.
+    Entry tags in comments or CDATA sections count as entries.
+    """
+    pieces = spark.read.option("lineSep", f"<{ROW_TAG}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value")
+    )
+    # a tag may carry attributes; what else stands before the first entry has the feed's own tags
+    opens = F.col("value").rlike(r"\A[\s/>]") & ~F.col("value").rlike(r"\A\s*<(\?xml|feed|!)")
+    end = F.instr("value", f"</{ROW_TAG}>")
+    body = F.concat(F.lit(f"<{ROW_TAG}"), F.col("value").substr(F.lit(1), end + len(f"</{ROW_TAG}>") - 1))
+    rows = pieces.where(opens).select("file", F.when(end > 0, body).alias("xml"), F.col("value"))
+    schema = f"{ENTRY_SCHEMA}, _broken string"
+    parsed = rows.withColumn("e", F.from_xml("xml", schema, {"columnNameOfCorruptRecord": "_broken"}))
+    reason = (
+        F.when(F.col("xml").isNull(), UNFINISHED)
+        .when(F.col("e").isNull() | F.col("e._broken").isNotNull(), BROKEN)
+        .when(F.coalesce("e.id", F.lit("")) == "", WITHOUT_ID)
+    )
+    return parsed.select("file", F.coalesce("xml", F.concat(F.lit(f"<{ROW_TAG}"), "value")).alias("xml"), "e", reason.alias("reason"))
+
+
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Raw entries, one row each.  The schema is given, so nothing is read twice."""
-    return spark.read.format("xml").option("rowTag", ROW_TAG).schema(ENTRY_SCHEMA).load(path)
+    """Usable entries, one row each."""
+    return checked_entries(spark, path).where("reason is null").select("e.*").drop("_broken")
+
+
+def rejected_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Refused entries as ``file, reason, xml``."""
+    return checked_entries(spark, path).where("reason is not null").select("file", "reason", "xml")
 
 
 def parse_entries(texts: DataFrame, column: str = "xml") -> DataFrame:

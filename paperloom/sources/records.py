@@ -52,18 +52,40 @@ def records_from_json(docs: DataFrame, column: str = "json") -> DataFrame:
     return records_from_variant(parsed.where(F.col("doc").isNotNull()))
 
 
-def read_analyses(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """One JSON document per file.  Unreadable files are left out, or fail when `strict`."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
+#: Why a document is refused.
+NO_JSON, NO_OBJECT, NO_ID = "no JSON", "no object", "no arxiv_id"
+
+
+def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    texts = spark.read.text(path, wholetext=not lines)
+    return texts.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("json"))
+
+
+def read_analyses(spark: SparkSession, path: str, strict: bool = False, lines: bool = False) -> DataFrame:
+    """One JSON document per file, or with `lines` per line as `sinks.write_json_records` leaves them.
+
+    Unreadable documents are left out, or fail when `strict`.
+    """
+    texts = _documents(spark, path, lines)
     if strict:
         return records_from_variant(texts.select(F.parse_json("json").alias("doc")))
     return records_from_json(texts)
 
 
+def rejected_analyses(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents that give no usable record as ``file, reason, json``."""
+    doc = F.try_parse_json("json")
+    reason = (
+        F.when(doc.isNull(), NO_JSON)
+        .when(~F.schema_of_variant(doc).startswith("OBJECT"), NO_OBJECT)
+        .when(F.coalesce(F.try_variant_get(doc, "$.arxiv_id", "string"), F.lit("")) == "", NO_ID)
+    )
+    return _documents(spark, path, lines).withColumn("reason", reason).where("reason is not null").select("file", "reason", "json")
+
+
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold no JSON document, for a look by hand."""
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return texts.where(F.try_parse_json("value").isNull()).select("file")
+    return rejected_analyses(spark, path).where(F.col("reason") == NO_JSON).select("file")
 
 
 def read_pages(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:

@@ -134,3 +134,9 @@ def merge(spark: SparkSession, path: str, key: str, batch_id: int, fan: int = FA
         elif not any(p.info["level"] > level for p in runs):
             return
         level += 1
+
+
+def stored(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """All keys of the store."""
+    runs = [p for p in store.live(spark, path)[1] if p.info["n"]]
+    return reduce(DataFrame.union, [spark.read.parquet(f"{path}/{p.folder}").select(key) for p in runs])

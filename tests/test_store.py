@@ -1,9 +1,13 @@
-"""Versioned tables: writers at once, repeated writes, old versions."""
+"""Versioned tables (writers at once, repeated writes, old versions), readers with rejects, positions."""
+
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from paperloom.operators.ranking import positioned
 from paperloom.session import shared_dir
-from paperloom.sources import sinks, store
+from paperloom.sources import feed, records, sinks, store
 
 SCHEMA = "arxiv_id string, n int"
 
@@ -109,3 +113,38 @@ def test_old_versions_go_with_what_only_they_name(spark):
 def test_an_empty_store(spark):
     path = shared_dir(spark, "store")
     assert store.live(spark, path) == (-1, []) and sinks.compact(spark, path) is None and store.forget(spark, path) == 0
+
+
+def test_broken_feed_entries_cost_only_themselves(spark, tmp_path):
+    head = '<?xml version="1.0"?>\n<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>'
+    whole = "<entry><id>http://x/abs/{0}v1</id><title>t{0}</title></entry>\n"
+    broken = "<entry><id>http://x/abs/9</id><title>t</titel></entry>"
+    (tmp_path / "a.xml").write_text(head + whole.format(1) + broken + whole.format(2) + "<entry><title>x</title></entry></feed>")
+    (tmp_path / "b.xml").write_text('<entry lang="en"><id>http://x/abs/3v1</id><title>t3</title></entry><entry><id>http://x/abs/4</id>')
+    (tmp_path / "c.xml").write_text("")
+    got = feed.read_feed(spark, str(tmp_path / "*.xml"), datetime(2024, 1, 1)).collect()
+    assert sorted(r.arxiv_id for r in got) == ["1", "2", "3"]
+    refused = feed.rejected_entries(spark, str(tmp_path / "*.xml")).collect()
+    assert sorted((r.file[-5:], r.reason) for r in refused) == [
+        ("a.xml", feed.BROKEN), ("a.xml", feed.WITHOUT_ID), ("b.xml", feed.UNFINISHED),
+    ]
+    assert next(r.xml for r in refused if r.reason == feed.BROKEN) == broken
+
+
+def test_refused_documents_have_a_reason(spark, tmp_path):
+    lines = ['{"arxiv_id":"1","title":"t"}', "{oops", "[1]", "null", '{"title":"t"}', '{"arxiv_id":""}', "", '{"arxiv_id":"1","title":"t"}']
+    (tmp_path / "rows.json").write_text("\n".join(lines))
+    got = [r.arxiv_id for r in records.read_analyses(spark, str(tmp_path), lines=True).where("arxiv_id <> ''").collect()]
+    assert got == ["1", "1"]
+    refused = [r.reason for r in records.rejected_analyses(spark, str(tmp_path), lines=True).collect()]
+    assert refused == [records.NO_JSON, records.NO_OBJECT, records.NO_OBJECT, records.NO_ID, records.NO_ID, records.NO_JSON]
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_positions_in_order(spark, n):
+    data = [((i * 7919) % 13 if i % 5 else None, i) for i in range(n)]
+    df = spark.createDataFrame(data, "a int, b int")
+    got = positioned(df, [F.col("a").desc_nulls_last(), F.col("b").asc()]).collect()
+    want = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in got) == list(range(n))
