@@ -36,8 +36,8 @@ END_ID = 0
 FIRST_RULE = 1 << 20
 #: A shard is closed once it has so many ids; a longer document is a shard of its own.
 SHARD_TOKENS = 1 << 21
-#: Passes of the grammar, replacements a rule must make, rules added in a pass.
-PASSES, MIN_COUNT, PASS_RULES = 3, 8, 10_000
+#: Replacements that pay for a rule: it takes 16 bytes, and each use saves the 4 bytes of a symbol.
+MIN_COUNT = 5
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 600_000
 
@@ -151,16 +151,24 @@ def encoder(path: str) -> Encoder:
 # grammar -----------------------------------------------------------------------------------
 
 
+def _frequent(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that occur often enough to pay for a rule, ascending, and their counts."""
+    ordered = np.sort(codes)
+    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+    counts = np.diff(np.append(edge, len(ordered)))
+    often = counts >= MIN_COUNT
+    return ordered[edge[often]], counts[often]
+
+
 def _choose(pairs: np.ndarray, counts: np.ndarray) -> list[int]:
     """Frequent pairs, most frequent first, none of which can overlap another in the text.
 
     A symbol is only a left or only a right half in one pass; a pair of equal symbols
     keeps its symbol to itself.
     """
-    order = np.argsort(-counts, kind="stable")[: 4 * PASS_RULES]
     side: dict[int, int] = {}
     chosen: list[int] = []
-    for code in pairs[order].tolist():
+    for code in pairs[np.argsort(-counts, kind="stable")].tolist():
         a, b = code >> 32, code & 0xFFFFFFFF
         if a == b:
             if a not in side:
@@ -169,11 +177,32 @@ def _choose(pairs: np.ndarray, counts: np.ndarray) -> list[int]:
         elif side.get(a, 1) == 1 and side.get(b, 2) == 2:
             side[a], side[b] = 1, 2
             chosen.append(code)
-        if len(chosen) == PASS_RULES:
-            break
     return chosen
 
 
+def _every_second(at: np.ndarray) -> np.ndarray:
+    """Which of the ascending positions stand where no run of them may be used twice in a row."""
+    if not len(at):
+        return np.empty(0, bool)
+    place = np.arange(len(at))
+    first = np.concatenate([[True], np.diff(at) != 1])
+    return (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+
+
+def _around(at: np.ndarray, steps: tuple[int, ...], symbols: np.ndarray, closing: np.ndarray) -> np.ndarray:
+    """The pairs of different symbols inside a document that begin so many places from `at`, each once."""
+    if len(steps) * len(at) < len(symbols) // 8:
+        at = np.unique(np.concatenate([at + step for step in steps]))
+        at = at[(at >= 0) & (at < len(symbols) - 1)]
+    else:  # many places are put in order by marking them
+        here = np.zeros(len(symbols) + 2, bool)
+        for step in steps:
+            here[at + step + 1] = True
+        at = np.flatnonzero(here[1:-2])  # a pair begins before the last symbol
+    a, b = symbols[at], symbols[at + 1]
+    return ((a << 32) | b)[(a != b) & ~closing[at]]
+
+
 def _sizes(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Number of ids that each symbol expands to."""
     out = np.ones(len(symbols), np.int64)
@@ -185,40 +214,37 @@ def _sizes(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def build_grammar(ids: np.ndarray, closing: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``symbols, closing, rules, lengths`` of a sequence whose documents end where `closing` is true.
 
-    Each pass counts all neighbouring pairs, replaces the most frequent ones by new
-    symbols, and the next pass works on the result, so rules use earlier rules.
+    Each pass replaces the most frequent pairs that cannot overlap by new symbols, and the
+    next works on the result, until no pair pays for its rule.  All pairs are counted
+    once; after a pass only those around what was replaced change: old pairs get fewer, and
+    what is new holds a new symbol.  Pairs of equal symbols, of which every second one in a run
+    can be replaced, are few and counted anew.
     """
     symbols, closing = ids.astype(np.int64), closing.copy()
     rules: list[np.ndarray] = []
     lengths = np.empty(0, np.int64)
     known = FIRST_RULE
-    for _ in range(PASSES):
-        if len(symbols) < 2:
-            break
-        codes = (symbols[:-1] << 32) | symbols[1:]
-        inner = ~closing[:-1]
-        ordered = np.sort(codes[inner])
-        if not len(ordered):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(edge, len(ordered)))
-        often = counts >= MIN_COUNT
-        if not often.any():
+    pairs, counts = _frequent(_around(np.arange(len(symbols)), (0,), symbols, closing))
+    while True:
+        same = np.flatnonzero((symbols[:-1] == symbols[1:]) & ~closing[:-1])
+        # runs of one symbol are runs of positions, unless a document ends between
+        same = same[_every_second(same)]
+        twins, times = _frequent((symbols[same] << 32) | symbols[same])
+        table = np.sort(np.array(_choose(np.concatenate([pairs, twins]), np.concatenate([counts, times])), np.int64))
+        if not len(table):
             break
-        chosen = _choose(ordered[edge[often]], counts[often])
-        table = np.sort(np.array(chosen, np.int64))
         top = known + 1
         left, right = np.zeros(top, bool), np.zeros(top, bool)
         left[table >> 32], right[table & 0xFFFFFFFF] = True, True
-        at = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]] & inner)
-        place = np.searchsorted(table, codes[at])
+        at = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]] & ~closing[:-1])
+        codes = (symbols[at] << 32) | symbols[at + 1]
+        place = np.searchsorted(table, codes)
         place[place == len(table)] = 0
-        fits = table[place] == codes[at]
+        fits = table[place] == codes
         at, place = at[fits], place[fits]
-        # in a run of equal symbols every second match stands
-        run = np.concatenate([[True], np.diff(at) != 1])
-        step = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at, place = at[step % 2 == 0], place[step % 2 == 0]
+        stands = _every_second(at)
+        at, place = at[stands], place[stands]
+        lost, fewer = np.unique(_around(at, (-1, 0, 1), symbols, closing), return_counts=True)
         symbols[at] = known + place
         closing[at] = closing[at + 1]
         stay = np.ones(len(symbols), bool)
@@ -227,21 +253,30 @@ def build_grammar(ids: np.ndarray, closing: np.ndarray) -> tuple[np.ndarray, np.
         halves = np.stack([table >> 32, table & 0xFFFFFFFF], axis=1)
         lengths = np.concatenate([lengths, _sizes(halves[:, 0], lengths) + _sizes(halves[:, 1], lengths)])
         rules.append(halves)
+        if len(lost):
+            spot = np.minimum(np.searchsorted(lost, pairs), len(lost) - 1)
+            counts = counts - np.where(lost[spot] == pairs, fewer[spot], 0)
+        more, often = _frequent(_around(np.flatnonzero(symbols >= known), (-1, 0), symbols, closing))
+        still = counts >= MIN_COUNT
+        pairs, counts = np.concatenate([pairs[still], more]), np.concatenate([counts[still], often])
         known += len(table)
     flat = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
     return symbols.astype(np.uint32), closing, flat.astype(np.uint32), lengths
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The token ids that `symbols` stand for: rules are opened level by level."""
-    out = symbols
-    while True:
-        at = np.flatnonzero(out >= FIRST_RULE)
-        if not len(at):
-            return out
-        halves = rules[out[at] - np.uint32(FIRST_RULE)]
-        out = np.insert(out, at + 1, halves[:, 1])
-        out[at + np.arange(len(at))] = halves[:, 0]
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The token ids that `symbols` stand for: rules are opened level by level, each half at its place."""
+    sizes = _sizes(symbols, lengths)
+    ends = np.cumsum(sizes)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint32)
+    at = ends - sizes
+    while len(symbols):
+        plain = symbols < FIRST_RULE
+        out[at[plain]] = symbols[plain]
+        halves, at = rules[symbols[~plain].astype(np.int64) - FIRST_RULE], at[~plain]
+        symbols = np.concatenate([halves[:, 0], halves[:, 1]])
+        at = np.concatenate([at, at + _sizes(halves[:, 0], lengths)])
+    return out
 
 
 def token_at(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, position: int) -> int:
@@ -330,7 +365,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, parts
 def _documents(shard: dict) -> Iterator[tuple[int | None, np.ndarray]]:
     """``doc_id, ids`` of every document of a shard row."""
     read = lambda name, kind: np.frombuffer(shard[name], kind)
-    ids = expand(read("symbols", "<u4"), read("rules", "<u4").reshape(-1, 2))
+    ids = expand(read("symbols", "<u4"), read("rules", "<u4").reshape(-1, 2), read("lengths", "<i8"))
     ends = np.cumsum(read("doc_tokens", "<i8"))
     for k, (doc_id, valid) in enumerate(zip(read("doc_ids", "<i8").tolist(), shard["id_valid"])):
         yield (doc_id if valid else None), ids[(ends[k - 1] if k else 0) : ends[k]]
@@ -340,7 +375,7 @@ def decode_document(shard: dict, k: int) -> np.ndarray:
     """The ids of document `k` of a shard row alone."""
     ends = np.cumsum(np.frombuffer(shard["doc_symbols"], "<i8"))
     symbols = np.frombuffer(shard["symbols"], "<u4")[(ends[k - 1] if k else 0) : ends[k]]
-    return expand(symbols, np.frombuffer(shard["rules"], "<u4").reshape(-1, 2))
+    return expand(symbols, np.frombuffer(shard["rules"], "<u4").reshape(-1, 2), np.frombuffer(shard["lengths"], "<i8"))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -163,6 +163,32 @@ def test_grammar_and_random_access():
             assert tokens.token_at(symbols, rules, lengths, p) == want[p]
 
 
+def test_grammar_leaves_no_pair_that_pays():
+    rng = np.random.default_rng(2)
+    for _ in range(120):
+        n = rng.integers(1, 400)
+        ids = rng.integers(0, rng.integers(1, 8), n).astype(np.uint32)
+        closing = rng.random(n) < rng.choice([0, 0.05, 0.3])
+        closing[-1] = True
+        symbols, closes, rules, lengths = tokens.build_grammar(ids, closing)
+        assert (tokens.expand(symbols, rules, lengths) == ids).all()
+        assert (np.cumsum(tokens._sizes(symbols, lengths))[closes] == np.flatnonzero(closing) + 1).all()
+        last, times = {}, Counter()
+        for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
+            if not closes[i] and not (pair[0] == pair[1] and last.get(pair) == i - 1):
+                last[pair] = i
+                times[pair] += 1
+        assert max(times.values(), default=0) < tokens.MIN_COUNT
+
+
+def test_grammar_of_one_repeated_word_is_logarithmic():
+    ids, closing = np.full(1 << 18, 7, np.uint32), np.zeros(1 << 18, bool)
+    closing[-1] = True
+    symbols, _, rules, lengths = tokens.build_grammar(ids, closing)
+    assert len(symbols) < 16 and len(rules) < 20 and lengths.max() == 1 << 15
+    assert (tokens.expand(symbols, rules, lengths) == ids).all()
+
+
 def test_encoder_forgets_and_stays_right(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 40)
     e = tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY))
