@@ -15,6 +15,8 @@ DIMENSION, NGRAM, SEED = 1024, 3, 5
 BLOCK = 1 << 20
 #: Letter vectors kept per worker; beyond that they are made anew.
 LETTERS = 20_000
+#: Cells of the matrix of last letters that `bundle` may fill per n-gram.
+FULLNESS = 64
 #: Standard deviations of a score by chance that a text gets for free before it is rejected.
 NOISE = 3
 
@@ -66,17 +68,36 @@ def letter_vector(point: int, dimension: int = DIMENSION, seed: int = SEED) -> n
     return bits * np.int8(2) - np.int8(1)
 
 
+def _letters_at(codes: np.ndarray, place: int, n: int) -> np.ndarray:
+    """The code points at a place of packed n-grams."""
+    return (codes >> np.int64(21 * (n - 1 - place))) & np.int64((1 << 21) - 1)
+
+
 def bundle(codes: np.ndarray, counts: np.ndarray, n: int = NGRAM, dimension: int = DIMENSION) -> np.ndarray:
-    """Sum of the n-gram vectors, each the product of its letters' vectors rotated by their place."""
+    """Sum of the n-gram vectors, each the product of its letters' vectors rotated by their place.
+
+    N-grams that differ only in their last letter share the product of the others, so the
+    last letters are summed first, by one matrix product, unless most of that matrix would be empty.
+    """
     total = np.zeros(dimension, np.float64)
     for at in range(0, len(codes), 4096):
-        part, bound = codes[at : at + 4096], None
-        for k in range(n):
-            points = (part >> np.int64(21 * (n - 1 - k))) & np.int64((1 << 21) - 1)
-            known, place = np.unique(points, return_inverse=True)
-            table = np.stack([np.roll(letter_vector(int(p), dimension), n - 1 - k) for p in known])
-            bound = table[place] if bound is None else bound * table[place]
-        total += counts[at : at + 4096].astype(np.float32) @ bound.astype(np.float32)
+        part, times = codes[at : at + 4096], counts[at : at + 4096]
+        heads, row = np.unique(part >> np.int64(21), return_inverse=True)
+        last, column = np.unique(_letters_at(part, n - 1, n), return_inverse=True)
+        if len(heads) * len(last) > FULLNESS * len(part):
+            heads, row, last = part >> np.int64(21), np.arange(len(part)), None
+        bound = np.ones((len(heads), dimension), np.int8)
+        for k in range(n - 1):
+            known, place = np.unique(_letters_at(heads, k + 1, n), return_inverse=True)
+            bound *= np.roll(np.stack([letter_vector(int(p), dimension) for p in known]), n - 1 - k, axis=1)[place]
+        if last is None:
+            known, place = np.unique(_letters_at(part, n - 1, n), return_inverse=True)
+            bound = bound * np.stack([letter_vector(int(p), dimension) for p in known])[place]
+            total += times.astype(np.float32) @ bound.astype(np.float32)
+            continue
+        grid = np.bincount(row * len(last) + column, times, len(heads) * len(last)).astype(np.float32)
+        ends = np.stack([letter_vector(int(p), dimension) for p in last]).astype(np.float32)
+        total += np.einsum("ij,ij->j", grid.reshape(len(heads), len(last)) @ ends, bound.astype(np.float32))
     return total
 
 

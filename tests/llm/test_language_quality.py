@@ -44,6 +44,27 @@ def test_language_matches_plain_vectors(spark):
     assert counts.sum() == 2_400_001 - 2 and set(codes.tolist()) == set(one)
 
 
+def test_bundles_of_shared_and_of_scattered_letters(monkeypatch):
+    """Summing last letters first gives what multiplying every n-gram gives, and fills no large empty matrix."""
+
+    def plain(codes, counts):
+        total = np.zeros(language_id.DIMENSION)
+        for code, count in zip(codes.tolist(), counts.tolist()):
+            v = [language_id.letter_vector((code >> s) & 0x1FFFFF).astype(float) for s in (42, 21, 0)]
+            total += count * np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return total
+
+    scattered = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(400))  # hardly a letter twice
+    for text in ("the cat sat on the mat, the cat is fat", "été à la plage " * 9, scattered, "a"):
+        codes, counts = language_id.ngrams(text)
+        want = plain(codes, counts)
+        assert np.array_equal(language_id.bundle(codes, counts), want)
+        for fullness in (0, 10**9):
+            monkeypatch.setattr(language_id, "FULLNESS", fullness)
+            assert np.array_equal(language_id.bundle(codes, counts), want)
+        monkeypatch.undo()
+
+
 def test_language_awkward_rows(spark):
     out = language_id.language_id(frame(spark, AWKWARD)).collect()
     assert len(out) == len(AWKWARD)
