@@ -18,13 +18,13 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from paperloom.llm.boosting import BoostedTrees, threshold_for
-from paperloom.llm.common import map_batches
+from paperloom.llm.boosting import LOCAL_ROWS, BoostedTrees, thresholds
+from paperloom.llm.common import map_batches, numbered
 from paperloom.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates that the trees are fitted on at most, the first by a seeded hash; the share that must be right.
-SAMPLE_ROWS, SEED, PRECISION = 20_000, 17, 0.98
+#: Seed of the order in which every third example is kept from the trees; the share that must be right.
+SEED, PRECISION = 17, 0.98
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -252,23 +252,30 @@ def scan(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, SCANNED)
 
 
-def fit(scanned: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[BoostedTrees | None, list[float]]:
-    """Trees and one threshold per kind, from at most `sample_rows` examples.
+def fit(scanned: DataFrame, local_rows: int = LOCAL_ROWS) -> tuple[BoostedTrees | None, list[float]]:
+    """Trees and one threshold per kind, from all examples.
 
-    Two thirds fit the trees; on the rest each kind's threshold is the lowest at which
-    enough of what it takes is right.  A kind that cannot reach that, or without examples,
-    adds nothing.
+    Two thirds fit the trees; on the rest, every third by a seeded hash, each kind's
+    threshold is the lowest at which enough of what it takes is right.  A kind that cannot
+    reach that, or without examples, adds nothing.  Equal examples travel as one with their number.
     """
     rows = scanned.select("doc_id", F.explode("examples").alias("e")).select("doc_id", "e.kind", "e.right", "e.x")
-    rows = rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id", "kind", "x"), "x", "right").limit(sample_rows).toPandas()
-    if rows["right"].nunique() < 2:
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(SEED), "doc_id", "kind", "x"))
+    rows = numbered(rows, ["_hash", "x", "right"], None, "numbered")
+    rows = rows.groupBy("kind", "right", "x", ((F.col("_start") % 3) == 2).alias("unseen")).agg(F.count("*").alias("n"))
+    rows = materialise(rows, "distinct")
+    if rows.select("right").distinct().count() < 2:
         return None, [2.0] * len(KINDS)
-    x, y, kind = np.stack(rows["x"].to_numpy()), rows["right"].to_numpy(float), rows["kind"].to_numpy()
-    unseen = np.arange(len(y)) % 3 == 2
-    trees = BoostedTrees().fit(x[~unseen], y[~unseen])
-    score = trees.predict(x[unseen])
-    thresholds = [threshold_for(score[kind[unseen] == k], y[unseen][kind[unseen] == k], PRECISION) for k in range(len(KINDS))]
-    return trees, thresholds
+    seen = rows.where("not unseen").select("x", F.col("right").cast("double").alias("y"), "n")
+    trees = BoostedTrees().fit_table(seen, local_rows)
+
+    def run(batch):
+        score = trees.predict(np.array(batch["x"])).tolist() if batch["x"] else []
+        return list(zip(batch["kind"], score, batch["right"], batch["n"]))
+
+    scored = map_batches(rows.where("unseen").select("kind", "x", "right", "n"), run, "kind int, score double, right boolean, n long")
+    found = thresholds(scored, PRECISION)
+    return trees, [found.get(k, 2.0) for k in range(len(KINDS))]
 
 
 def chosen(proposed: list[dict], score: np.ndarray, thresholds: list[float]) -> list[tuple[int, int, int]]:

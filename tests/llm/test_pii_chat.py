@@ -133,6 +133,48 @@ def test_trees_learn_an_interaction():
     assert threshold_for(np.array([0.9]), np.array([0.0]), 0.9) == 2.0
 
 
+def test_tables_of_examples_give_the_trees_and_thresholds_of_all_rows(spark):
+    """Counted rows, added up by Spark or by the driver, teach what the same rows teach one by one."""
+    import numpy as np
+
+    from paperloom.llm.boosting import thresholds
+
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.random((3000, 3)) * [40, 5, 2])
+    y = ((x[:, 0] > 21) ^ (x[:, 1] > 2) ^ (rng.random(3000) < 0.1)).astype(float)
+    plain = BoostedTrees(rounds=4).fit(x, y)
+    table = spark.createDataFrame([(a, b, 1) for a, b in zip(x.tolist(), y.tolist())], "x array<double>, y double, n long").repartition(7)
+    for local_rows in (0, 20_000):
+        assert BoostedTrees(rounds=4).fit_table(table, local_rows).trees == plain.trees
+    score, kind = np.round(plain.predict(x), 3), np.arange(3000) % 2
+    truth = (y == 1) & (kind == 1) | (kind == 0) & (score > 0.7)
+    rows = spark.createDataFrame(list(zip(kind.tolist(), score.tolist(), truth.tolist(), [1] * 3000)), "kind int, score double, right boolean, n long")
+    for precision in (0.8, 0.9, 0.98, 1.0):
+        want = {k: threshold_for(score[kind == k], truth[kind == k].astype(float), precision) for k in (0, 1)}
+        assert {k: thresholds(rows, precision).get(k, 2.0) for k in (0, 1)} == want
+
+
+def test_every_example_counts(spark):
+    """More examples than any sample would hold: the rare ones move the trees as well."""
+    common, rare = ([1.0] * 31, 30_000), ([2.0] * 31, 30)
+    rows = [(i, [(0, i % 2 == 0, x)]) for x, n in (common, rare) for i in range(n)]
+    rows += [(i, [(0, True, [3.0] * 31)]) for i in range(30)]
+    scanned = spark.createDataFrame(rows, "doc_id long, examples array<struct<kind: int, right: boolean, x: array<double>>>")
+    seen = []
+    fitted = BoostedTrees.fit_table
+
+    def spy(self, table, local_rows):
+        seen.append(table.selectExpr("sum(n)").first()[0])
+        return fitted(self, table, local_rows)
+
+    BoostedTrees.fit_table = spy
+    try:
+        trees, cuts = pii.fit(scanned)
+    finally:
+        BoostedTrees.fit_table = fitted
+    assert seen == [20_040] and len(cuts) == len(pii.KINDS) and cuts[1:] == [2.0] * 3
+
+
 # chat --------------------------------------------------------------------------------------
 
 SCHEMA = "conv_id long, turn long, role string, text string, seq string, piece int, start string, loss string"
