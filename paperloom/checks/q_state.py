@@ -193,15 +193,24 @@ def archive_new_rows(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------
 
 
-def _landed(df: DataFrame, spark: SparkSession, by: str, batches: int, shuffled: bool = False) -> DataFrame:
+def _range_of(df: DataFrame, by: str, ranges: int) -> "F.Column":
+    """Number of a row's range of `by`.  The bounds are read from that column alone, not from whole rows."""
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = (df.agg(F.percentile_approx(by, shares, 10_000)).first()[0] or []) if shares else []
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(by))), F.lit(0)) if bounds else F.lit(0)
+
+
+def _landed(df: DataFrame, spark: SparkSession, by: str, batches: int, shuffled: bool = False, copies: int = 1) -> DataFrame:
     """The rows as a stream of about `batches` micro-batches, landed by one distributed write.
 
     Each file holds a range of `by`, or with `shuffled` rows from everywhere, so that
-    every micro-batch brings late events.
+    every micro-batch brings late events.  Every row lands `copies` times, in the same file.
     """
     path = shared_dir(spark, "landing")
     files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartition(files, F.xxhash64(by)) if shuffled else df.repartitionByRange(files, by)
+    dealt = df.repartition(files, F.xxhash64(by)) if shuffled else df.repartitionById(files, _range_of(df, by, files))
+    if copies > 1:  # rows move once
+        dealt = dealt.withColumn("_copy", F.explode(F.array(*[F.lit(i) for i in range(copies)]))).select(df.columns)
     dealt.write.parquet(path)
     return stream_feed.file_stream(spark, path, df.schema, -(-files // batches))
 
@@ -231,9 +240,10 @@ def stream_candidates(spark: SparkSession, sf: str) -> DataFrame:
     feed = papers(spark, sf)
     out, ck = shared_dir(spark, "incremental"), shared_dir(spark, "checkpoint")
     # everything arrives twice; the second copy must not be handled again
-    stream = _landed(feed.unionByName(feed), spark, "doc_id", 4)
+    stream = _landed(feed, spark, "doc_id", 4, copies=2)
+    read = ["arxiv_id", "title", "abstract", "categories", "published"]  # what matching and the order need
     query_ = stream_feed.run_incremental(
-        stream, out, ck, "arxiv_id", ["published"],
+        stream.select(read), out, ck, "arxiv_id", ["published"],
         lambda new: candidates.topic_candidates(new, TOPICS).select("arxiv_id", "topic_idx"),
     )
     stream_feed.run_until_done(query_)

@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,3 +280,21 @@ def test_seen_keys_over_many_batches_open_few_buckets(spark):
     assert found(keys(600, 700), 7) == {f"k{i}" for i in range(600, 650)}
     nulls = spark.createDataFrame([(None,), ("k1",)], "k string")
     assert found(nulls, 7) == {"k1"}
+
+
+def test_rows_land_in_ranges_and_copies(spark):
+    """Every row lands as often as asked, copies together, each file a range."""
+    from paperloom.checks.q_state import _landed
+
+    rows = spark.createDataFrame([(i,) for i in range(40)] + [(None,)], "n int").withColumn("wide", F.lit("read"))
+    stream = _landed(rows, spark, "n", 4, copies=2)
+    path = max(Path(spark.conf.get("spark.checkpoint.dir")).glob("landing-*"), key=lambda p: p.stat().st_mtime)
+    landed = spark.read.parquet(str(path))
+    assert stream.columns == landed.columns == ["n", "wide"]
+    found = landed.groupBy("n").count().collect()
+    assert sorted((-1 if r.n is None else r.n, r["count"]) for r in found) == [(i, 2) for i in range(-1, 40)]
+    files = landed.where("n is not null").groupBy(F.input_file_name().alias("f")).agg(F.min("n").alias("a"), F.max("n").alias("b")).collect()
+    spans = sorted((r.a, r.b) for r in files)
+    assert len(spans) == 4 and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+    empty = _landed(rows.where("n < 0"), spark, "n", 4)
+    assert empty.columns == ["n", "wide"]
