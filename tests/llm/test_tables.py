@@ -181,6 +181,19 @@ def test_grammar_leaves_no_pair_that_pays():
         assert max(times.values(), default=0) < tokens.MIN_COUNT
 
 
+def test_grammar_with_more_symbols_than_16_bits():
+    rng = np.random.default_rng(3)
+    for n in (65_000, 66_000):  # rules take the numbers beyond 16 bits, or the ids alone do
+        ids = np.concatenate([np.tile(rng.permutation(n), 2), np.tile(rng.integers(0, n, 3000), 6)]).astype(np.uint32)
+        closing = np.arange(len(ids)) % 1001 == 1000
+        closing[-1] = True
+        symbols, closes, rules, lengths = tokens.build_grammar(ids, closing)
+        assert n + len(rules) > 1 << 16 and len(symbols) < len(ids) - 12_000
+        assert (tokens.expand(symbols, rules, lengths) == ids).all()
+        assert (np.cumsum(tokens._sizes(symbols, lengths))[closes] == np.flatnonzero(closing) + 1).all()
+        assert max(Counter(zip(symbols.tolist(), symbols[1:].tolist())).values()) < tokens.MIN_COUNT + 1
+
+
 def test_grammar_of_one_repeated_word_is_logarithmic():
     ids, closing = np.full(1 << 18, 7, np.uint32), np.zeros(1 << 18, bool)
     closing[-1] = True
@@ -189,6 +202,19 @@ def test_grammar_of_one_repeated_word_is_logarithmic():
     assert (tokens.expand(symbols, rules, lengths) == ids).all()
 
 
+def test_encoder_cuts_marks_off_and_encodes_a_word_once():
+    e = tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY))
+    words = ["café", "naïve", "don't", "x²", "3×4", "a÷", "漢字", "ȿ", "e\u0301", "it's", "Ġ", "über" * 9, "42", "_", "<", "\x7f"]
+    tails = ["", ".", "...", "!?", "'", "!" * 15, "!" * 16, "…", "'s", "$$$"]
+    texts = [" ".join(f"{w}{t}\n{t}{w}" for w in words) for t in tails] + [f"{w}{t}" for w in words for t in tails]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.encode(texts)] == want
+    known = len(e.uses)
+    e.encode(["so word, word. word word? (word)"])
+    assert len(e.uses) == known + 6  # so, word, comma, question mark, (word, bracket; the stop was there
+    assert [x.tolist() for x in e.encode(texts[::-1])] == want[::-1]
+
+
 def test_encoder_forgets_and_stays_right(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 40)
     e = tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY))
