@@ -106,8 +106,9 @@ def _two_words(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
 
 def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Parts of `flat` one after the other."""
-    ends = np.cumsum(sizes)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 class Encoder:
@@ -319,7 +320,7 @@ def _frequent(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _choose(pairs: np.ndarray, counts: np.ndarray, bits: int, top: int) -> np.ndarray:
-    """Frequent pairs, most frequent first, none of which can overlap another in the text.
+    """Places of frequent pairs, most frequent first, none of which can overlap another in the text.
 
     A symbol is only a left or only a right half in one pass; a pair of equal symbols
     keeps its symbol to itself.
@@ -344,7 +345,7 @@ def _choose(pairs: np.ndarray, counts: np.ndarray, bits: int, top: int) -> np.nd
             elif side[b] in (0, 2):
                 side[a], side[b] = 1, 2
                 chosen.append(k)
-    return pairs[order[chosen]]
+    return order[chosen]
 
 
 def _every_second(at: np.ndarray) -> np.ndarray:
@@ -369,19 +370,19 @@ def _around(at: np.ndarray, steps: tuple[int, ...], symbols: np.ndarray, closing
         here[at + step + 1] = True
     here = here[1:-2]  # a pair begins before the last symbol
     here &= ~closing[:-1]
-    many = 4 * len(at) > len(symbols)
-    if many:
-        here &= symbols[1:] != symbols[:-1]
     at = np.flatnonzero(here)
-    if not many:
-        at = at[symbols[at] != symbols[at + 1]]
-    return _codes(symbols, at, bits)
+    a, b = symbols[at], symbols[at + 1]
+    codes = (a << bits) | b
+    return (codes.astype(np.uint32) if bits == 16 else codes)[a != b]
 
 
 def _places(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The place of each code in the ascending table, or -1: by hash slots, by order where slots are shared."""
     width = len(table).bit_length() + 3
-    slots = lambda x: ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
+    if table.dtype == np.uint32:
+        slots = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - width)
+    else:
+        slots = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)
     held, own = np.full(1 << width, -1, np.int32), slots(table)
     every = np.arange(len(table), dtype=np.int32)
     held[own] = every
@@ -428,9 +429,11 @@ def build_grammar(ids: np.ndarray, closing: np.ndarray) -> tuple[np.ndarray, np.
         # runs of one symbol are runs of positions, unless a document ends between
         same = same[_every_second(same)]
         twins, times = _frequent(_codes(symbols, same, bits))
-        table = np.sort(_choose(np.concatenate([pairs, twins]), np.concatenate([counts, times]), bits, known))
-        if not len(table):
+        every = np.concatenate([pairs, twins])
+        chosen = _choose(every, np.concatenate([counts, times]), bits, known)
+        if not len(chosen):
             break
+        table = np.sort(every[chosen])
         halves = np.stack([table >> bits, table & ((1 << bits) - 1)], axis=1).astype(np.int64)
         side = np.zeros(known, np.uint8)  # 1: a left half, 2: a right half, 3: both in one pair
         side[halves[:, 0]] = 1
@@ -440,9 +443,12 @@ def build_grammar(ids: np.ndarray, closing: np.ndarray) -> tuple[np.ndarray, np.
         place = _places(table, _codes(symbols, at, bits))
         fits = place >= 0
         at, place = at[fits], place[fits]
-        stands = _every_second(at)
+        twin = np.flatnonzero((halves[:, 0] == halves[:, 1])[place])  # other chosen pairs can't overlap
+        stands = np.ones(len(at), bool)
+        stands[twin] = _every_second(at[twin])
         at, place = at[stands], place[stands]
-        lost = np.sort(_around(at, (-1, 0, 1), symbols, closing, bits))
+        counts[chosen[chosen < len(pairs)]] = 0  # all of these are replaced
+        lost = np.sort(_around(at, (-1, 1), symbols, closing, bits))
         counts = counts - (np.searchsorted(lost, pairs, "right") - np.searchsorted(lost, pairs, "left"))
         still = counts >= MIN_COUNT
         pairs, counts = pairs[still], counts[still]
@@ -469,10 +475,10 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.nd
     """The token ids that `symbols` stand for; where there are many, each different one is opened once."""
     if len(symbols) <= 2 * len(rules):
         return _open(symbols, rules, lengths)
-    place = np.zeros(FIRST_RULE + len(rules), np.int64)
+    place = np.zeros(FIRST_RULE + len(rules), np.int32)
     place[symbols] = 1
     distinct = np.flatnonzero(place)
-    place[distinct] = np.arange(len(distinct))
+    place[distinct] = np.arange(len(distinct), dtype=np.int32)
     sizes = _sizes(distinct, lengths)
     starts, place = np.cumsum(sizes) - sizes, place[symbols]
     return _gather(_open(distinct.astype(np.uint32), rules, lengths), starts[place], sizes[place])
